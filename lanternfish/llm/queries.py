@@ -10,6 +10,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.packing import pack
+
+    return pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.secret_scan import listed, scan
+
+    found = scan(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    return found.select(
+        "doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
+        F.sha2(listed(F.filter("spans", lambda s: s["kind"] != "random")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanternfish.llm.line_dedup import remove_boilerplate
 
