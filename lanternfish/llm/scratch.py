@@ -44,4 +44,4 @@ def release(spark: SparkSession, since: int = 0, until: int | None = None) -> No
     for path in _written[since:until]:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-    del _written[since:until]
+    _written[since:until] = []
