@@ -17,6 +17,20 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.url_filter import judge, page_edges
+
+    pages = _table(spark, sf_dir, "pages")
+    return judge(pages.select("page_id", "url"), page_edges(pages), url_rules())
+
+
+def url_rules() -> list:
+    """The rules of the contract."""
+    from lanternfish.llm.url_filter import Rule
+
+    return [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow"), Rule("example.com", "/de/", "block"), Rule("org", "/fr/", "allow")]
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanternfish.llm.packing import pack
 
