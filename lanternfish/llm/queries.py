@@ -17,6 +17,13 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.ann import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanternfish.llm.url_filter import judge, page_edges
 
