@@ -63,6 +63,19 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.license_scan import fit, scan
+
+    docs = _table(spark, sf_dir, "documents")
+    found = scan(docs, fit(docs))
+    told = F.transform("findings", lambda x: F.concat_ws(":", x["family"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select(
+        "doc_id", F.size("findings").cast("long").alias("n_findings"),
+        F.array_join(F.array_sort(F.array_distinct(F.col("findings.family"))), ",").alias("families"),
+        F.array_join(told, ",").alias("findings"),
+    )
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lanternfish.llm.secret_scan import listed, scan
 
