@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lanternfish.llm import words as W
 from lanternfish.llm.graph import components
-from lanternfish.llm.scratch import materialize
+from lanternfish.llm.scratch import materialize, small_batches
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,6 +37,8 @@ DF_BITS = 18
 FILTER_BITS = 22
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _BLOCK = 2048
+#: Bytes of shingle sets sent at once, and rows of texts or pairs of sets.
+_SEND, _TEXTS, _PAIRS = 4 << 20, 1000, 200
 
 
 def _df_slot(keys: np.ndarray) -> np.ndarray:
@@ -161,6 +163,7 @@ def _sets(batches, idf, bits):
     done: set[int] = set()
     for batch in batches:
         rows: list[tuple[int, bytes, bytes]] = []
+        size = 0
         for keys in W.word_hashes(batch.column(0).to_pylist()):
             name = class_of(keys) if len(keys) else None
             if name is None or name in done:
@@ -171,8 +174,16 @@ def _sets(batches, idf, bits):
             done.add(name)
             shingles, weights = weighted_shingles(keys, idf)
             rows.append((name, (shingles >> np.uint64(32)).astype(np.uint32).tobytes(), weights.tobytes()))
-        a, b, c = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["class", "shingles", "weights"])
+            size += 8 * len(shingles)
+            if size > _SEND:
+                yield _set_rows(rows)
+                rows, size = [], 0
+        yield _set_rows(rows)
+
+
+def _set_rows(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+    a, b, c = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["class", "shingles", "weights"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -187,9 +198,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def _verify(batches, least: float):
     for batch in batches:
-        c = {n: batch.column(n).to_pylist() for n in ("a", "b", "sa", "wa", "sb", "wb")}
-        view = lambda s, w: (np.frombuffer(s, np.uint32), np.frombuffer(w, np.float32))
-        ok = [similarity(view(sa, wa), view(sb, wb)) >= least for sa, wa, sb, wb in zip(c["sa"], c["wa"], c["sb"], c["wb"])]
+        columns = [batch.column(n) for n in ("sa", "wa", "sb", "wb")]
+        ok = []
+        for i in range(batch.num_rows):
+            sa, wa, sb, wb = (np.frombuffer(c[i].as_buffer(), k) for c, k in zip(columns, (np.uint32, np.float32) * 2))
+            ok.append(similarity((sa, wa), (sb, wb)) >= least)
         keep = pa.array(ok, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
 
@@ -197,7 +210,8 @@ def _verify(batches, least: float):
 def _verified(pairs: DataFrame, sets: DataFrame, least: float, label: str) -> DataFrame:
     one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
     two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    return materialize(pairs.join(one, "a").join(two, "b").mapInArrow(lambda it: _verify(it, least), "a bigint, b bigint"), label)
+    with small_batches(pairs.sparkSession, _PAIRS):
+        return materialize(pairs.join(one, "a").join(two, "b").mapInArrow(lambda it: _verify(it, least), "a bigint, b bigint"), label)
 
 
 def _filter_bits(classes: DataFrame) -> np.ndarray:
@@ -221,9 +235,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    idf = spark.sparkContext.broadcast(word_idf(slim, "text"))
+    with small_batches(spark, _TEXTS):
+        idf = spark.sparkContext.broadcast(word_idf(slim, "text"))
     signed = slim.mapInArrow(lambda it: _sign(it, idf.value), "doc_id bigint, class bigint, mass double, bands array<bigint>")
-    signed = materialize(signed.withColumn("row_no", F.monotonically_increasing_id()), "signed")
+    with small_batches(spark, _TEXTS):
+        signed = materialize(signed.withColumn("row_no", F.monotonically_increasing_id()), "signed")
     classes = signed.where("class is not null").groupBy("class").agg(F.first("bands").alias("bands"), F.first("mass").alias("mass"))
     entries = classes.select("class", "mass", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("class").alias("leader"), F.count("*").alias("n")).where("n > 1")
@@ -232,7 +248,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = spark.sparkContext.broadcast(_filter_bits(crowded.select("class")))
     found = slim.select("text").mapInArrow(lambda it: _sets(it, idf.value, bits.value), "class bigint, shingles binary, weights binary")
     found = found.groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights"))
-    sets = materialize(found.join(crowded.select("class").distinct(), "class", "left_semi"), "sets")
+    with small_batches(spark, _TEXTS):
+        sets = materialize(found.join(crowded.select("class").distinct(), "class", "left_semi"), "sets")
 
     first = crowded.where("class <> leader").groupBy("class").agg(F.min("leader").alias("b"))
     links = _verified(first.select(F.col("class").alias("a"), "b"), sets, least, "links")
