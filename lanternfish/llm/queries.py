@@ -101,5 +101,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lanternfish.llm.sentencepiece_codec import digest
+
+    return digest(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
