@@ -9,9 +9,11 @@ similarity; bands of samples name buckets, and pairs in a bucket are verified
 on their whole weighted shingle sets.
 
 Texts with the same words are one class from the start.  In a bucket, classes
-are first compared with one leader; classes that stay apart are then compared
-with every class of the bucket outside their component, so no pair in a bucket
-that could join two components goes unverified.
+are first compared with one leader.  Where a bucket still spans components, an
+exact prefix filter decides who else must be compared: texts as similar as
+asked for share one of their rarest shingles, which hold the first fifth of
+their weight.  Texts that have only a common passage in common share none, so
+they are proved apart without being paired.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BANDS, ROWS = 16, 4
 DF_BITS = 18
 #: Bits of the filter that keeps texts without a candidate from being moved.
 FILTER_BITS = 22
+#: Shingles share 2**RANK_BITS counters by which texts order them from rare to common.
+RANK_BITS = 18
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _BLOCK = 2048
 #: Bytes of shingle sets sent at once, and rows of texts or pairs of sets.
@@ -253,8 +257,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     first = crowded.where("class <> leader").groupBy("class").agg(F.min("leader").alias("b"))
     links = _verified(first.select(F.col("class").alias("a"), "b"), sets, least, "links")
-    pairs = _apart(crowded, components(links), first, least)
-    more = _verified(pairs, sets, least, "links")
+    after = materialize(components(links).withColumnRenamed("node", "class").withColumnRenamed("component", "c"), "components")
+    prefixes = _prefixes(sets, _undecided(crowded, after), least)
+    more = _verified(_apart(prefixes, first, least), sets, least, "links")
     groups = components(links.union(more)).withColumnRenamed("node", "class").withColumnRenamed("component", "in_group")
 
     rows = signed.select("doc_id", "row_no", "class").join(groups, "class", "left")
@@ -264,13 +269,69 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(best, "group").select("doc_id", F.col("best.doc_id").alias("group_id"), "group_size", (F.col("best.row_no") == F.col("row_no")).alias("kept"))
 
 
-def _apart(crowded: DataFrame, groups: DataFrame, tested: DataFrame, least: float) -> DataFrame:
-    """Pairs of one bucket but different components, not yet tested, that may be similar.
+def _undecided(crowded: DataFrame, groups: DataFrame) -> DataFrame:
+    """(class, mass, c) of the classes in buckets that span several components."""
+    here = crowded.join(groups, "class", "left").select("key", "class", "mass", F.coalesce("c", "class").alias("c"))
+    mixed = here.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    return here.join(mixed, "key", "left_semi").select("class", "mass", "c").distinct()
 
-    Classes outside a bucket's largest component meet all classes of other
+
+def _rank_slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint32(32 - RANK_BITS)).astype(np.int64)
+
+
+def _count_shingles(batches):
+    seen = np.zeros(1 << RANK_BITS, dtype=np.int64)
+    for batch in batches:
+        for value in batch.column(0):
+            np.add.at(seen, _rank_slot(np.frombuffer(value.as_buffer(), np.uint32)), 1)
+    slots = np.flatnonzero(seen)
+    for at in range(0, len(slots), 10_000):
+        part = slots[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[part])], ["slot", "n"])
+
+
+def prefix(shingles: np.ndarray, weights: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The rarest shingles, just over ``1 - least`` of the weight.
+
+    All texts order their shingles alike, so two texts with a similarity of
+    ``least`` or more have a shingle in common among these.
+    """
+    order = np.lexsort((shingles, counts[_rank_slot(shingles)]))
+    weight = np.cumsum(weights[order].astype(np.float64))
+    enough = np.searchsorted(weight, weight[-1] * (1 - least) * (1 + 1e-6), side="right") + 1
+    return np.unique(shingles[order[:enough]])
+
+
+def _emit_prefixes(batches, counts, least: float):
+    for batch in batches:
+        found = [
+            prefix(np.frombuffer(s.as_buffer(), np.uint32), np.frombuffer(w.as_buffer(), np.float32), counts, least)
+            for s, w in zip(batch.column("shingles"), batch.column("weights"))
+        ]
+        sizes = np.array([len(x) for x in found], dtype=np.int64)
+        repeat = pa.array(np.repeat(np.arange(len(found)), sizes))
+        keys = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(repeat) for c in ("class", "mass", "c"))], ["key", "class", "mass", "c"])
+
+
+def _prefixes(sets: DataFrame, undecided: DataFrame, least: float) -> DataFrame:
+    """(key, class, mass, c): the prefix shingles of the undecided classes."""
+    spark = sets.sparkSession
+    with small_batches(spark, _TEXTS):
+        rows = sets.select("shingles").mapInArrow(_count_shingles, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros(1 << RANK_BITS, dtype=np.int64)
+        counts[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+        sent = spark.sparkContext.broadcast(counts)
+        return materialize(sets.join(undecided, "class").mapInArrow(lambda it: _emit_prefixes(it, sent.value, least), "key bigint, class bigint, mass double, c bigint"), "prefixes")
+
+
+def _apart(here: DataFrame, tested: DataFrame, least: float) -> DataFrame:
+    """Pairs of one prefix shingle but different components, not yet tested, that may be similar.
+
+    Classes outside a shingle's largest component meet all classes of other
     components.  Similar texts have masses within a factor of ``least``.
     """
-    here = crowded.join(groups.withColumnRenamed("node", "class"), "class", "left").select("key", "class", "mass", F.coalesce("component", "class").alias("c"))
     sizes = here.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = here.join(main.select("key", F.col("main.c").alias("main")), "key")
