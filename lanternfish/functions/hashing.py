@@ -2,50 +2,58 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import regex as re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.functions.text import WORD
-
 #: A word may hold + # . inside, but starts and ends with a word character.
-FEATURE_WORD = rf"{WORD}(?:[\p{{L}}\p{{M}}\p{{N}}_+#.]*{WORD})?"
-LANE = (1 << 32) - 1
+_FEATURE_WORDS = re.compile(r"[\p{L}\p{M}\p{N}_]+(?:[\p{L}\p{M}\p{N}_+#.]*[\p{L}\p{M}\p{N}_]+)?")
 
 
 def sha256(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def feature_hash(feature: Column) -> Column:
-    """The first 64 bits of the MD5 digest, as a signed number."""
-    digest = F.md5(feature.cast("binary"))
-    half = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
-    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+def _features(text: str) -> dict[str, int]:
+    """Weights of a text's 4-grams (1 each) and words (2 each); equal ones add up."""
+    weights: dict[str, int] = {}
+    for i in range(len(text) - 3):
+        gram = text[i : i + 4]
+        weights[gram] = weights.get(gram, 0) + 1
+    for word in _FEATURE_WORDS.findall(text):
+        weights[word] = weights.get(word, 0) + 2
+    return weights
+
+
+def simhash_of(text: str | None) -> int:
+    """The 64-bit SimHash of a text, as a signed number; 0 without features."""
+    weights = _features(" ".join((text or "").split()).lower())
+    if not weights:
+        return 0
+    digests = b"".join(hashlib.md5(f.encode()).digest()[:8] for f in weights)
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+    w = np.fromiter(weights.values(), np.float64, len(weights))
+    return int.from_bytes(np.packbits(2 * (w @ bits) > w.sum()).tobytes(), "big", signed=True)
+
+
+def _simhashes(batches):
+    for batch in batches:
+        values = [simhash_of(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["doc_id", "simhash"])
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, simhash): 64-bit SimHash of character 4-grams (weight 1) and words (weight 2).
+    """(doc_id, simhash): 64-bit SimHash of character 4-grams and words, by MD5.
 
-    Features are hashed once per text.  Bits are summed two to a number, the
-    upper half of the hash above the lower, so 32 sums do for 64 bits.
+    Features never leave their row: no explode and no shuffle, which is some
+    ten times faster than 64 conditional sums over exploded features.
     """
-    text = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"(?U)\s+", " ")))
-    slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    grams = F.when(F.length("t") >= 4, F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.substr(F.col("t"), i, F.lit(4)))).otherwise(F.array())
-    words = F.regexp_extract_all(F.col("t"), F.lit(FEATURE_WORD), 0)
-    rows = slim.select("doc_id", F.explode(grams).alias("f"), F.lit(1).cast("long").alias("w"))
-    rows = rows.unionAll(slim.select("doc_id", F.explode(words).alias("f"), F.lit(2).cast("long").alias("w")))
-    weighted = rows.groupBy("doc_id", "f").agg(F.sum("w").alias("w")).select("doc_id", "w", feature_hash(F.col("f")).alias("h"))
-    lane = F.lit(4294967297)
-    sums = [F.sum(F.shiftright(F.col("h"), i).bitwiseAND(lane) * F.col("w")).alias(f"s{i}") for i in range(32)]
-    summed = weighted.groupBy("doc_id").agg(F.sum("w").alias("total"), *sums)
-    bits = F.lit(0).cast("long")
-    for i in range(32):
-        low = F.when(2 * F.col(f"s{i}").bitwiseAND(F.lit(LANE)) > F.col("total"), F.lit(1 << i)).otherwise(F.lit(0))
-        high = F.when(2 * F.shiftrightunsigned(F.col(f"s{i}"), 32) > F.col("total"), F.shiftleft(F.lit(1).cast("long"), 32 + i)).otherwise(F.lit(0).cast("long"))
-        bits = bits.bitwiseOR(low.cast("long")).bitwiseOR(high)
-    hashed = summed.select("doc_id", bits.alias("simhash"))
-    return slim.select("doc_id").join(hashed, "doc_id", "left").select("doc_id", F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return slim.mapInArrow(_simhashes, "doc_id bigint, simhash bigint")
 
 
 def unsigned(value: Column) -> Column:

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The token pattern and the stop words.
 TOKEN = r"[a-zA-Z0-9]+(?:\.[a-zA-Z0-9]+)*(?:\+\+|#)?"
@@ -23,7 +24,7 @@ STOP_WORDS = (
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 

@@ -9,6 +9,7 @@ from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Parameters that only track, and networks that are never fetched.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "source", "_ga"]
@@ -103,7 +104,7 @@ def _safe(url: str | None) -> bool:
     return not (ip.is_private or ip.is_loopback or ip.is_reserved or ip.is_link_local or any(ip in n for n in _NETWORKS))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def safe_to_fetch(url: pd.Series) -> pd.Series:
     """False for other schemes, no host, localhost and private addresses; names aren't resolved."""
     return url.map(_safe).astype(bool)

@@ -8,6 +8,7 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 USER_AGENT = "lanternfish"
 
@@ -19,7 +20,7 @@ def _rules(text: str) -> RobotFileParser:
     return rules
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def allowed(robots: pd.Series, url: pd.Series, agent: pd.Series) -> pd.Series:
     """Whether ``agent`` may fetch ``url``; without a file everything is allowed."""
     return pd.Series([not t or _rules(t).can_fetch(a, u or "") for t, u, a in zip(robots, url, agent)], dtype=bool)

@@ -61,14 +61,16 @@ def first_seen(urls: DataFrame, ts_col: str = "ts", horizon: str = "1 day") -> D
 
 def query_windows(log: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window_start, query, n, latency) of tumbling windows of the query log.  Beyond the search engine's own features."""
-    grouped = log.withWatermark("ts", late).groupBy(F.window("ts", width), "query")
+    timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    grouped = timed.groupBy(F.window("ts", width), "query")
     counts = grouped.agg(F.count("*").alias("n"), F.round(F.avg("latency_ms"), 6).alias("mean_latency"))
     return counts.select(F.col("window.start").alias("window_start"), "query", "n", "mean_latency")
 
 
 def sessions(log: DataFrame, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(key, start, end, n): activity without a pause longer than ``gap``."""
-    grouped = log.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), key)
+    timed = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    grouped = timed.groupBy(F.session_window("ts", gap).alias("w"), key)
     return grouped.agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
