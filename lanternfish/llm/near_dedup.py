@@ -9,11 +9,10 @@ similarity; bands of samples name buckets, and pairs in a bucket are verified
 on their whole weighted shingle sets.
 
 Texts with the same words are one class from the start.  In a bucket, classes
-are first compared with one leader.  Where a bucket still spans components, an
-exact prefix filter decides who else must be compared: texts as similar as
-asked for share one of their rarest shingles, which hold the first fifth of
-their weight.  Texts that have only a common passage in common share none, so
-they are proved apart without being paired.
+are first compared with the most central of them.  Where a bucket still spans
+components, an exact prefix filter decides who else may be similar: such texts
+share one of their rarest shingles, which hold the first fifth of their weight.
+Of these pairs, those whose samples agree often enough are verified too.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm import words as W
@@ -39,6 +38,9 @@ DF_BITS = 18
 FILTER_BITS = 22
 #: Shingles share 2**RANK_BITS counters by which texts order them from rare to common.
 RANK_BITS = 18
+#: Samples that must agree for a second look.  At a similarity of 0.8 fewer agree in
+#: one of 50,000 pairs, far more seldom than no band agrees at all (1 of 4,600).
+AGREE, PLANES = 38, 4
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _BLOCK = 2048
 #: Bytes of shingle sets sent at once, and rows of texts or pairs of sets.
@@ -145,20 +147,21 @@ def class_of(keys: np.ndarray) -> int:
 
 def _sign(batches, idf):
     for batch in batches:
-        classes, bands, mass = [], [], []
+        classes, bands, marks, mass = [], [], [], []
         for keys in W.word_hashes(batch.column(1).to_pylist()):
             if not len(keys):
-                classes.append(None)
-                bands.append(None)
-                mass.append(None)
+                for column in (classes, bands, marks, mass):
+                    column.append(None)
                 continue
             shingles, weights = weighted_shingles(keys, idf)
             classes.append(class_of(keys))
-            bands.append(_band_keys(weighted_samples(shingles, weights)))
+            samples = weighted_samples(shingles, weights)
+            bands.append(_band_keys(samples))
+            marks.append(_marks(samples))
             mass.append(float(weights.sum()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(classes, pa.int64()), pa.array(mass, pa.float64()), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "class", "mass", "bands"],
+            [batch.column(0), pa.array(classes, pa.int64()), pa.array(mass, pa.float64()), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, marks))],
+            ["doc_id", "class", "mass", "bands", "marks"],
         )
 
 
@@ -241,13 +244,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with small_batches(spark, _TEXTS):
         idf = spark.sparkContext.broadcast(word_idf(slim, "text"))
-    signed = slim.mapInArrow(lambda it: _sign(it, idf.value), "doc_id bigint, class bigint, mass double, bands array<bigint>")
+    signed = slim.mapInArrow(lambda it: _sign(it, idf.value), "doc_id bigint, class bigint, mass double, bands array<bigint>, marks array<bigint>")
     with small_batches(spark, _TEXTS):
         signed = materialize(signed.withColumn("row_no", F.monotonically_increasing_id()), "signed")
-    classes = signed.where("class is not null").groupBy("class").agg(F.first("bands").alias("bands"), F.first("mass").alias("mass"))
+    classes = signed.where("class is not null").groupBy("class").agg(*(F.first(c).alias(c) for c in ("bands", "marks", "mass")))
     entries = classes.select("class", "mass", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("class").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    crowded = materialize(entries.join(shared.select("key", "leader"), "key"), "buckets")
+    shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = materialize(entries.join(shared, "key"), "buckets")
 
     bits = spark.sparkContext.broadcast(_filter_bits(crowded.select("class")))
     found = slim.select("text").mapInArrow(lambda it: _sets(it, idf.value, bits.value), "class bigint, shingles binary, weights binary")
@@ -255,10 +258,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with small_batches(spark, _TEXTS):
         sets = materialize(found.join(crowded.select("class").distinct(), "class", "left_semi"), "sets")
 
-    first = crowded.where("class <> leader").groupBy("class").agg(F.min("leader").alias("b"))
-    links = _verified(first.select(F.col("class").alias("a"), "b"), sets, least, "links")
+    first = materialize(_first_pairs(crowded), "first")
+    links = _verified(first, sets, least, "links")
     after = materialize(components(links).withColumnRenamed("node", "class").withColumnRenamed("component", "c"), "components")
-    prefixes = _prefixes(sets, _undecided(crowded, after), least)
+    marks = classes.select("class", *(F.col("marks")[i].alias(f"m{i}") for i in range(PLANES)))
+    prefixes = _prefixes(sets, _undecided(crowded, after), marks, least)
     more = _verified(_apart(prefixes, first, least), sets, least, "links")
     groups = components(links.union(more)).withColumnRenamed("node", "class").withColumnRenamed("component", "in_group")
 
@@ -269,6 +273,34 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(best, "group").select("doc_id", F.col("best.doc_id").alias("group_id"), "group_size", (F.col("best.row_no") == F.col("row_no")).alias("kept"))
 
 
+def _first_pairs(crowded: DataFrame) -> DataFrame:
+    """(a, b): each class with one leader, that which leads most of its buckets.
+
+    The class with the most company in all its buckets leads a bucket; in a
+    group of copies that is the text from which the others differ least.
+    """
+    central = crowded.groupBy("class").agg(F.sum("n").alias("company"))
+    known = crowded.join(central, "class")
+    leaders = known.groupBy("key").agg(F.max(F.struct("company", "class")).alias("top"))
+    met = known.join(leaders, "key").where(F.col("top.class") != F.col("class"))
+    led = met.groupBy("class", F.col("top.class").alias("b")).agg(F.count("*").alias("n"), F.first("top.company").alias("company"))
+    return led.groupBy(F.col("class").alias("a")).agg(F.max(F.struct("n", "company", "b")).alias("best")).select("a", "best.b")
+
+
+def _marks(samples: np.ndarray) -> np.ndarray:
+    """``PLANES`` bits of each sample: one number for each bit, its 64 bits those of the samples."""
+    planes = samples[None, :] >> np.arange(PLANES, dtype=np.uint64)[:, None] & np.uint64(1)
+    return np.packbits(planes.astype(np.uint8), axis=1).view(np.int64).ravel()
+
+
+def _agreeing() -> Column:
+    """In how many samples the texts a and b agree, by ``PLANES`` bits of each."""
+    differ = F.lit(0).cast("long")
+    for i in range(PLANES):
+        differ = differ.bitwiseOR(F.col(f"m{i}_a").bitwiseXOR(F.col(f"m{i}_b")))
+    return BANDS * ROWS - F.bit_count(differ)
+
+
 def _undecided(crowded: DataFrame, groups: DataFrame) -> DataFrame:
     """(class, mass, c) of the classes in buckets that span several components."""
     here = crowded.join(groups, "class", "left").select("key", "class", "mass", F.coalesce("c", "class").alias("c"))
@@ -304,6 +336,7 @@ def prefix(shingles: np.ndarray, weights: np.ndarray, counts: np.ndarray, least:
 
 
 def _emit_prefixes(batches, counts, least: float):
+    names = ["class", "mass", "c", *(f"m{i}" for i in range(PLANES))]
     for batch in batches:
         found = [
             prefix(np.frombuffer(s.as_buffer(), np.uint32), np.frombuffer(w.as_buffer(), np.float32), counts, least)
@@ -312,35 +345,38 @@ def _emit_prefixes(batches, counts, least: float):
         sizes = np.array([len(x) for x in found], dtype=np.int64)
         repeat = pa.array(np.repeat(np.arange(len(found)), sizes))
         keys = np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(repeat) for c in ("class", "mass", "c"))], ["key", "class", "mass", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), *(batch.column(c).take(repeat) for c in names)], ["key", *names])
 
 
-def _prefixes(sets: DataFrame, undecided: DataFrame, least: float) -> DataFrame:
-    """(key, class, mass, c): the prefix shingles of the undecided classes."""
+def _prefixes(sets: DataFrame, undecided: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """(key, class, mass, c, marks): the prefix shingles of the undecided classes."""
     spark = sets.sparkSession
     with small_batches(spark, _TEXTS):
         rows = sets.select("shingles").mapInArrow(_count_shingles, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros(1 << RANK_BITS, dtype=np.int64)
         counts[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
         sent = spark.sparkContext.broadcast(counts)
-        return materialize(sets.join(undecided, "class").mapInArrow(lambda it: _emit_prefixes(it, sent.value, least), "key bigint, class bigint, mass double, c bigint"), "prefixes")
+        return materialize(sets.join(undecided.join(marks, "class"), "class").mapInArrow(lambda it: _emit_prefixes(it, sent.value, least), "key bigint, class bigint, mass double, c bigint, " + ", ".join(f"m{i} bigint" for i in range(PLANES))), "prefixes")
 
 
 def _apart(here: DataFrame, tested: DataFrame, least: float) -> DataFrame:
     """Pairs of one prefix shingle but different components, not yet tested, that may be similar.
 
     Classes outside a shingle's largest component meet all classes of other
-    components.  Similar texts have masses within a factor of ``least``.
+    components.  A pair is made only if its masses are within a factor of
+    ``least`` and if ``AGREE`` of its samples agree.
     """
     sizes = here.groupBy("key", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = here.join(main.select("key", F.col("main.c").alias("main")), "key")
-    minor = open_.where("c <> main").select("key", F.col("class").alias("a"), F.col("mass").alias("mass_a"), F.col("c").alias("ca"))
-    other = open_.select("key", F.col("class").alias("b"), F.col("mass").alias("mass_b"), F.col("c").alias("cb"), (F.col("c") != F.col("main")).alias("minor_b"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("class", "mass", "c", *(f"m{i}" for i in range(PLANES)))]
+    minor = open_.where("c <> main").select("key", *side("a"))
+    other = open_.select("key", *side("b"), (F.col("c") != F.col("main")).alias("minor_b"))
     fits = F.least("mass_a", "mass_b") >= least * F.greatest("mass_a", "mass_b") * (1 - 1e-6)
-    met = minor.join(other, "key").where((F.col("ca") != F.col("cb")) & (~F.col("minor_b") | (F.col("a") > F.col("b"))) & fits)
-    pairs = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return pairs.join(tested.select(F.col("class").alias("a"), "b"), ["a", "b"], "left_anti")
+    once = (F.col("c_a") != F.col("c_b")) & (~F.col("minor_b") | (F.col("class_a") > F.col("class_b")))
+    met = minor.alias("l").join(other.alias("r"), (F.col("l.key") == F.col("r.key")) & once & fits & (_agreeing() >= AGREE))
+    pairs = met.select(F.greatest("class_a", "class_b").alias("a"), F.least("class_a", "class_b").alias("b")).distinct()
+    return pairs.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:

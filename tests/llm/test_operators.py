@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 from lanternfish.llm import ann, bpe, exact_dedup, language_id, license_scan, line_dedup, near_dedup, packing, secret_scan, sentencepiece_codec, url_filter, words
 from lanternfish.llm.graph import components
@@ -131,15 +132,13 @@ def test_samples_estimate_weighted_similarity():
     assert abs(true - share) < 0.15
 
 
-def test_prefixes_of_similar_sets_meet():
+def test_agreement_counts_equal_samples(spark):
     r = np.random.default_rng(2)
-    counts = r.integers(0, 50, 1 << near_dedup.RANK_BITS)
-    for _ in range(50):
-        keys = np.unique(r.integers(0, 1 << 32, 300, dtype=np.uint64).astype(np.uint32))
-        w = r.gamma(2, 1, len(keys)).astype(np.float32)
-        x, y = r.random(len(keys)) > 0.05, r.random(len(keys)) > 0.05
-        if near_dedup.similarity((keys[x], w[x]), (keys[y], w[y])) >= 0.8:
-            assert set(near_dedup.prefix(keys[x], w[x], counts, 0.8)) & set(near_dedup.prefix(keys[y], w[y], counts, 0.8))
+    a, b = r.integers(0, 3, (2, 40, 64)).astype(np.uint64)
+    rows = [(*near_dedup._marks(x).tolist(), *near_dedup._marks(y).tolist()) for x, y in zip(a, b)]
+    names = [f"m{i}_{x}" for x in "ab" for i in range(near_dedup.PLANES)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} bigint" for n in names))
+    assert [r[0] for r in df.select(near_dedup._agreeing()).collect()] == (a == b).sum(axis=1).tolist()
 
 
 def test_components(spark):
@@ -275,8 +274,6 @@ def test_forward_backward_equals_enumeration():
 
 
 def test_language(spark):
-    from pyspark.sql import functions as F
-
     from lanternfish.llm.queries import held_out, op4_language_id
 
     rows = op4_language_id(spark, "/root/testdata/sf0.01")
