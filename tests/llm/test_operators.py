@@ -300,6 +300,24 @@ def test_licences(spark):
     assert license_scan.scan(table(spark, AWKWARD), model).count() == len(AWKWARD)
 
 
+def licence_model():
+    return license_scan.train([prose(40, i) for i in range(200)])
+
+
+def test_wrapped_licences():
+    import textwrap
+
+    model = licence_model()
+    for family, templates in license_scan.TEMPLATES.items():
+        for t in templates:
+            for mark in ("", "# ", " * "):
+                notice = "\n".join(mark + x for x in textwrap.wrap(t, 72, break_on_hyphens=False, break_long_words=False))
+                text = f"{prose(60, 1)}\n\n{notice}\n{prose(60, 2)}\n\n{prose(9, 3)}"
+                found = license_scan.find([text], model)[0]
+                assert [x["family"] for x in found] == [family], t
+                assert text[found[0]["start"] : found[0]["end"]] == notice.removeprefix(mark).strip(), t
+
+
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
 
