@@ -318,6 +318,22 @@ def test_wrapped_licences():
                 assert text[found[0]["start"] : found[0]["end"]] == notice.removeprefix(mark).strip(), t
 
 
+UNLISTED = [
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.", "This file is distributed under the ISC license.",
+    "Distributed under the Boost Software License, Version 1.0.", "Licensed under the European Union Public Licence, version 1.2.", "You may distribute this package under the terms of the Artistic License 2.0.",
+    "Released under the Zope Public License, version 2.1.",
+]
+
+
+def test_unlisted_licences_are_unknown():
+    model = licence_model()
+    for t in UNLISTED:
+        text = f"{prose(50, 1)}\n{t}\n{prose(50, 2)}"
+        assert [x["family"] for x in license_scan.find([t], model)[0]] == ["unknown"], t
+        assert [x["family"] for x in license_scan.find([text], model)[0]] == ["unknown"], t
+    assert license_scan.find(["The driver showed a license at the border.", prose(800, 4)], model) == [[], []]
+
+
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
 
