@@ -334,6 +334,15 @@ def test_unlisted_licences_are_unknown():
     assert license_scan.find(["The driver showed a license at the border.", prose(800, 4)], model) == [[], []]
 
 
+def test_every_notice_of_a_paragraph():
+    model = licence_model()
+    mit, apache, gpl = (license_scan.TEMPLATES[f][i] for f, i in (("mit", 1), ("apache", 1), ("gpl", 1)))
+    for text in (f"{mit} {apache}", f"{apache} {mit} {gpl}", f"{prose(100, 1)} {mit} {prose(100, 2)} {apache} {prose(100, 3)} {gpl} {prose(70, 4)}", f"{mit}\n{prose(20, 1)}\n{mit}"):
+        found = license_scan.find([text], model)[0]
+        want = sorted((m.start(), f) for f, t in (("mit", mit), ("apache", apache), ("gpl", gpl)) for m in re.finditer(re.escape(t), text))
+        assert [x["family"] for x in found] == [f for _, f in want]
+
+
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
 
