@@ -2,8 +2,9 @@
 
 A vocabulary learned from text spells words and names with few tokens but has
 to spell random strings nearly letter by letter.  Long unbroken strings with
-few characters a token are reported as ``random``, unless they are digests,
-UUIDs or identifiers.  Pattern findings are always reported.
+few characters a token are reported as ``random``, unless they are digests or
+UUIDs; words joined to them, such as the name before a value, are left out.
+Pattern findings are always reported.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _HEXADECIMAL = re.compile(r"(0x)?[0-9A-Fa-f]+")
 _DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_SIGNS = "=-_/+"
+#: UUIDs stay whole; all else is cut at signs.
+_PIECE = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern}(?![A-Za-z0-9])|[A-Za-z0-9]+")
+_WORD = re.compile(r"[A-Z]?[a-z]{3,}")
 
 Span = tuple[int, int, int]
 
@@ -41,16 +45,67 @@ def load_encoding(ranks_path: str):
 
 
 def is_known(run: str) -> bool:
-    """Digests, UUIDs and identifiers: long strings that are no secrets."""
+    """Digests and UUIDs: long strings that are no secrets."""
     bare = run.removeprefix("0x")
-    if _HEXADECIMAL.fullmatch(run) and len(bare) in _DIGEST_SIZES or _UUID.fullmatch(run):
-        return True
-    kinds = sum(any(f(c) for c in run) for f in (str.islower, str.isupper, str.isdigit))
-    if kinds < 2 or not any(c.isdigit() for c in run):
-        return True
-    # An identifier is made of a few words and numbers, joined in some style.
-    words = _WORDS.findall(run)
-    return sum(map(len, words)) >= 5 * len(words)
+    return bool(_HEXADECIMAL.fullmatch(run) and len(bare) in _DIGEST_SIZES or _UUID.fullmatch(run))
+
+
+def random_parts(run: str, count_tokens, max_ratio: float) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run of letters, digits and signs."""
+
+    def is_random(a: int, b: int) -> bool:
+        return b - a >= 20 and b - a <= max_ratio * count_tokens(run[a:b])
+
+    def is_word(a: int, b: int) -> bool:
+        return b - a >= 4 and b - a > max_ratio * count_tokens(run[a:b])
+
+    def of(a: int, b: int) -> list[tuple[int, int]]:
+        """Random stretches between known pieces; words at their ends are left out where enough stays."""
+        stretches: list[list[tuple[int, int, bool]]] = [[]]
+        for m in _PIECE.finditer(run, a, b):
+            if is_known(m[0]):
+                stretches.append([])
+            else:
+                stretches[-1].append((*m.span(), is_word(*m.span())))
+        out = []
+        for pieces in filter(None, stretches):
+            plain = [i for i, x in enumerate(pieces) if not x[2]]
+            inner = (pieces[plain[0]][0], pieces[plain[-1]][1]) if plain else None
+            # The name may have a part too short to judge, as in sk_live_...: it goes with the word after it.
+            lead = 0
+            for i, (s, e, word) in enumerate(pieces):
+                if word:
+                    lead = i + 1
+                elif e - s >= 4:
+                    break
+            after = (pieces[lead][0], pieces[plain[-1]][1]) if plain and lead <= plain[-1] else None
+            whole = (pieces[0][0], pieces[-1][1])
+            if is_random(*whole):
+                out.append(next((x for x in (after, inner) if x and is_random(*x)), whole))
+                continue
+            group: list[tuple[int, int, bool]] = []
+            for x in [*pieces, (b, b, True)]:
+                if not x[2]:
+                    group.append(x)
+                elif group:
+                    if is_random(group[0][0], group[-1][1]):
+                        out.append((group[0][0], group[-1][1]))
+                    group = []
+                if x[2]:
+                    # Words may stand before a random rest without a sign between.
+                    at, end = x[0], x[1]
+                    while (m := _WORD.match(run, at, end)) and is_word(*m.span()):
+                        at = m.end()
+                    if at > x[0] and is_random(at, end):
+                        out.append((at, end))
+        return out
+
+    found, at = [], 0
+    for part in run.split("="):
+        if len(part) >= 20:
+            found += of(at, at + len(part))
+        at += len(part) + 1
+    return found or ("=" in run.strip(_SIGNS) and of(0, len(run))) or []
 
 
 def find_spans(text: str, count_tokens, max_ratio: float) -> list[tuple[str, int, int]]:
@@ -66,13 +121,9 @@ def find_spans(text: str, count_tokens, max_ratio: float) -> list[tuple[str, int
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = list(found)
     for a, b in runs:
-        run = text[a:b].strip("=-_/+")
-        a = text.index(run, a) if run else a
-        b = a + len(run)
-        if len(run) < 20 or is_known(run) or any(s < b and a < e for s, _, e in base):
-            continue
-        if len(run) <= max_ratio * count_tokens(run):
-            found.append((a, 3, b))
+        for s, e in random_parts(text[a:b], count_tokens, max_ratio):
+            if not any(x < a + e and a + s < y for x, _, y in base):
+                found.append((a + s, 3, a + e))
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
 

@@ -364,6 +364,31 @@ def test_secrets(spark):
     assert secret_scan.scan(table(spark, AWKWARD), RANKS).count() == len(AWKWARD)
 
 
+def test_random_strings_of_any_alphabet():
+    import string
+
+    ranks, make = secret_scan.load_encoding(RANKS)
+    e = make(ranks)
+    count = lambda s: len(e.encode_ordinary(s))
+    find = lambda t: secret_scan.find_spans(t, count, 2.0)
+    r = random.Random(9)
+    for alphabet in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase + "234567", string.ascii_letters + string.digits):
+        for n in (24, 32, 40):
+            for _ in range(50):
+                key = "".join(r.choice(alphabet) for _ in range(n))
+                if n <= 2 * count(key):
+                    assert find(key) == [("random", 0, n)], key
+    for prefix in ("connection_string_credentials=", "storage/account/", "sk_live_", "client-credentials-"):
+        for _ in range(50):
+            key = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(28))
+            (kind, start, end), = find(f"see {prefix}{key} there")
+            assert kind == "random" and start <= len(prefix) + 4 <= start + len(prefix) and end == 32 + len(prefix), key
+    assert find("connection_string_credentials=q7Zx0PfK2mVw9TbR4nLc8HsY1dGj") == [("random", 30, 58)]
+    assert find("bPxRfiCYzq/K7MDENG/wJalrXUtnFEMI/Xq9") == [("random", 0, 36)]
+    for known in ("getElementsByTagNameAndClass", "src/main/java/com/example/project", "THIS_IS_A_CONSTANT_VALUE", "id_123e4567-e89b-12d3-a456-426614174000", "commit/DA39A3EE5E6B4B0D3255BFEF95601890AFD80709", "-" * 40):
+        assert find(known) == [], known
+
+
 MODEL = P.path("piece_bpe_32k.model")
 
 
