@@ -122,6 +122,32 @@ def test_near_groups_equal_brute_force(spark):
     assert near_dedup.near_groups(table(spark, [])).count() == 0
 
 
+def test_words_of_every_script(spark):
+    def cut(text):
+        raw, starts, ends, _ = words.split_characters([(0, text)])
+        return [raw[a:b].tobytes().decode() for a, b in zip(starts, ends)]
+
+    assert cut("Été\u00a0naïve—“quoted”\u3000cafe\u0301 x²…Ω") == ["été", "naïve", "quoted", "cafe\u0301", "x²", "ω"]
+    assert cut("東京は、ABC漢字です。กิน") == ["東", "京", "は", "abc", "漢", "字", "で", "す", "กิ", "น"]
+    r = random.Random(3)
+    for text in ["".join(r.choice("aé1 ,、京กิ\u0301—\u00a0😀Z") for _ in range(40)) for _ in range(200)]:
+        want, last = [], words.OUT
+        for c in text.lower():
+            k = int(words._classes()[ord(c)])
+            if k == words.SINGLE or k != words.OUT and last == words.OUT or k == words.WORD and last == words.SINGLE:
+                want.append("")
+            if k != words.OUT:
+                want[-1] += c
+            last = base if k == words.MARK and last != words.OUT else words.MARK if k == words.MARK else k
+            base = last
+        assert cut(text) == want, text
+    chinese = "".join(chr(0x4E00 + r.randrange(3000)) + ("。" if i % 20 == 19 else "") for i in range(400))
+    english = prose(200, 5)
+    rows = [(1, chinese, "a"), (2, chinese[:200] + "新" + chinese[201:], "a"), (3, english.replace(" ", "\u00a0"), "a"), (4, english.replace(" ", "—"), "a"), (5, english, "a")]
+    got = {x["doc_id"]: x["group_id"] for x in near_dedup.near_groups(table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}
+
+
 def test_samples_estimate_weighted_similarity():
     r = np.random.default_rng(1)
     keys = np.sort(words.mixed(np.arange(1, 900, dtype=np.uint64)))
