@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections import deque
 from functools import lru_cache
 
 import numpy as np
@@ -100,12 +101,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {bytes(back[c] for c in t): i for t, i in vocab.items() if t not in special}
 
 
+def load_added(path: str) -> dict[str, int]:
+    """The tokenizer file's added tokens, which a text is split at first."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that look at their neighbours are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 class Encoder:
-    """Ids of whole texts.  Special-token strings in a text are ordinary text."""
+    """Ids of whole texts.  Strings of ``added`` tokens get their ids; without them they are ordinary text."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], added: dict[str, int] | None = None):
         from tiktoken import _tiktoken
 
+        self._added = added or {}
+        # Of tokens that start at one place the longest is taken.
+        self._at_added = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
+
         self._core = _tiktoken.CoreBPE(ranks, {}, r"[\s\S]")
         self._known: dict[int, bytes] = {}
 
@@ -114,6 +128,25 @@ class Encoder:
 
     def encode(self, texts: list[str]):
         """Yield one uint32 array for each text, in order."""
+        if not self._at_added:
+            yield from self._encode(texts)
+            return
+        tokens: deque[list[str]] = deque()
+
+        def sections():
+            for text in texts:
+                parts = self._at_added.split(text)
+                tokens.append(parts[1::2])
+                yield from parts[::2]
+
+        ids = self._encode(sections())
+        for first in ids:
+            out = [first]
+            for token in tokens.popleft():
+                out += [np.array([self._added[token]], dtype=np.uint32), next(ids)]
+            yield np.concatenate(out) if len(out) > 1 else first
+
+    def _encode(self, texts):
         pending: list[str] = []
         size = 0
         for text in texts:

@@ -138,8 +138,8 @@ def _places(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {length: np.array(r, dtype=np.int64) for length, r in rows.items()}
 
 
-def _cut(batches, ranks: dict[bytes, int], end_id: int, capacity: int):
-    encoder, part, seen = bpe.Encoder(ranks), TaskContext.get().partitionId(), {}
+def _cut(batches, ranks: dict[bytes, int], added: dict[str, int], end_id: int, capacity: int):
+    encoder, part, seen = bpe.Encoder(ranks, added), TaskContext.get().partitionId(), {}
     last = np.array([end_id], dtype=np.uint32)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]
     for batch in batches:
@@ -185,10 +185,10 @@ def pack(
     empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(bpe.load_ranks(tokenizer_path))
+    ranks, added = spark.sparkContext.broadcast(bpe.load_ranks(tokenizer_path)), bpe.load_added(tokenizer_path)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint"
-    pieces = materialize(slim.mapInArrow(lambda it: _cut(it, ranks.value, end_id, capacity), schema), "pieces")
+    pieces = materialize(slim.mapInArrow(lambda it: _cut(it, ranks.value, added, end_id, capacity), schema), "pieces")
     per_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

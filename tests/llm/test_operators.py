@@ -223,6 +223,21 @@ def test_bpe_equals_the_tokenizer():
     assert next(iter(encoder.encode([long]))).tolist() == encoder_whole(encoder, long)
 
 
+def test_added_tokens_are_split_off_first(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(JSON)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "", "x<|endoftext|><|endoftext|>  y's", "plain", "<|endoftext| >", "'<|endoftext|>s \n<|endoftext|>\n\n", prose(400_000, 8) + "<|endoftext|> z"]
+    r = random.Random(7)
+    texts += ["".join(r.choice(["a", " ", "'s", "é", "\n", "<|endoftext|>", "<|", "|>"]) for _ in range(12)) for _ in range(300)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    encoder = bpe.Encoder(bpe.load_ranks(JSON), bpe.load_added(JSON))
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    (row,) = packing.pack(table(spark, [(1, texts[0], "a")]), JSON).collect()
+    assert row["ids_crc32"] == zlib.crc32(np.array([*want[0], 2], "<u4").tobytes())
+
+
 def encoder_whole(encoder, text):
     return encoder._slice([text])[0].tolist()
 
