@@ -9,9 +9,12 @@ which any URL is blocked is blocked for every alias that no allow rule covers.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from html import unescape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lanternfish.llm.graph import components
 from lanternfish.llm.scratch import materialize
@@ -21,7 +24,7 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 CANONICAL = r"(?i)<link\s[^>]*rel\s*=\s*[\"']?canonical[^>]*>"
 HREF = r"(?i)\shref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?i)<meta\s[^>]*http-equiv\s*=\s*[\"']?refresh[^>]*>"
-TARGET = r"(?i)url\s*=\s*[\"']?([^\"'\s>;]+)"
+TARGET = r"(?i)url\s*=\s*[\"']?([^\"'\s>]+)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,23 +49,44 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
 
 
+def undotted(path: Column) -> Column:
+    """A path that starts with a slash, without its dot segments (RFC 3986, 5.2.4)."""
+    segments = F.split(path, "/")
+    segments = F.slice(segments, 2, F.size(segments))
+    kept = F.aggregate(
+        segments, F.array().cast("array<string>"),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))),
+    )
+    end = F.when(F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The URL without fragment and with its scheme and host in lower case."""
+    """The URL without fragment and dot segments, and with its scheme and host in lower case."""
     bare = F.regexp_replace(url, r"(?s)#.*$", "")
     start = F.translate(F.regexp_extract(bare, r"(?s)^(.*?://[^/?]*)", 1), _UPPER, _LOWER)
-    return F.concat(start, F.substr(bare, F.length(start) + 1))
+    rest = F.substr(bare, F.length(start) + 1)
+    path = F.regexp_extract(rest, r"(?s)^([^?]*)", 1)
+    return F.concat(start, F.when(path.startswith("/"), undotted(path)).otherwise(path), F.substr(rest, F.length(path) + 1))
+
+
+@F.pandas_udf(StringType())
+def decoded(link: pd.Series) -> pd.Series:
+    """An attribute's value without its entities and the blanks around it."""
+    return link.map(lambda x: unescape(x).strip())
 
 
 def resolved(base: Column, link: Column) -> Column:
-    """``link`` as found in the page ``base``; null where there is none."""
+    """``link`` as found in the page ``base`` (RFC 3986, 5.2.2; ``node_of`` takes dots out); null where it is the page itself."""
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
     site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
     folder = F.concat(F.lit("/"), F.regexp_extract(base, r"(?s)^.*?://[^/?#]*/([^?#]*/)?", 1))
     return (
-        F.when(link == "", None).when(link.contains("://"), link)
+        F.when((link == "") | link.startswith("#"), None).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(site, link))
-        .when(link.startswith("#") | link.startswith("?"), None)
+        .when(link.startswith("?"), F.concat(site, path, link))
         .otherwise(F.concat(site, folder, link))
     )
 
@@ -73,7 +97,8 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     found = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1))
     links = pages.where(url.contains("://")).select(url.alias("url"), F.explode(found).alias("link"))
     # One target a row, by explode, so that the long expression isn't copied into the next.
-    targets = links.where("link <> ''").select("url", F.explode(F.array(resolved(F.col("url"), F.col("link")))).alias("target"))
+    links = links.where("link <> ''").select("url", decoded(F.col("link")).alias("link"))
+    targets = links.select("url", F.explode(F.array(resolved(F.col("url"), F.col("link")))).alias("target"))
     edges = targets.select(node_of(F.col("url")).alias("a"), node_of(F.col("target")).alias("b"))
     return edges.where("b is not null and a <> b")
 

@@ -206,6 +206,27 @@ def test_url_decisions(spark):
     ])
 
 
+def test_targets_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    base = "http://free.org/a/b/p?x=1"
+    links = ["?q=2", "./c", "../c", "../../../c", "c/./d/..", ".", "..", "/r/../s?u=../v", "/go?to=http://x.org/", "//Other.org/../z", "g;x=1/../y", "?a=1&amp;b=2", "/p?a=1&#38;b=2&amp;c=3", "d.e/..f/.g", "http://other.org/k/../l"]
+    plain = lambda x: x.replace("&amp;", "&").replace("&#38;", "&")
+    for form in ('<link rel="canonical" href="{0}">', '<meta http-equiv="refresh" content="0; url={0}">'):
+        pages = spark.createDataFrame([(f"{base}&n={i}", form.format(x)) for i, x in enumerate(links)], "url string, html string")
+        got = {r["a"]: r["b"] for r in url_filter.page_edges(pages).collect()}
+        want = {f"{base}&n={i}": urljoin(base, plain(x)).replace("Other", "other") for i, x in enumerate(links)}
+        want |= {f"{base}&n=9": "http://other.org/z", f"{base}&n=14": "http://other.org/l"}  # urljoin leaves dots in these
+        assert got == want
+    rows = [
+        (1, "http://a.net/x?u=1&v=2", ""), (2, "http://free.org/1/2", '<link rel="canonical" href="//a.net/x?u=1&amp;v=2">'), (3, "http://free.org/1/3", '<link rel="canonical" href="../1/./2">'),
+        (4, "http://free.org/1/2?p=1", ""), (5, "http://free.org/1/3?s", '<meta http-equiv="refresh" content="0;url=../1/3">'), (6, "http://free.org/1/3?t=4", '<link rel="canonical" href="?s">'), (7, "http://free.org/0/../1/2", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, url_filter.page_edges(pages), RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "block"}
+
+
 JSON = P.path("byte_bpe_50k.json")
 
 
