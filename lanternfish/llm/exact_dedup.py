@@ -5,7 +5,7 @@ condition, so equal passages give equal chunks wherever they stand.  A chunk is
 named by a 64-bit hash and verified by its SHA-256: chunks whose short names
 agree while their digests do not get distinct variant numbers.  A document is
 then its ordered list of verified identifiers, and only those lists are grouped
-and compared; text never moves between machines.
+and compared; ``exact_groups`` never moves text between machines.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.llm.scratch import materialize
+from lanternfish.llm.scratch import materialize, numbered, passing, quoted, without
 
 WINDOW = 48
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +84,7 @@ def _digest(batches, mean_bytes: int):
     kind = pa.list_(pa.struct([("weak", pa.int64()), ("strong", pa.binary())]))
     for batch in batches:
         shas, recipes = [], []
-        for text in batch.column(1).to_pylist():
+        for text in batch.column(2).to_pylist():
             data = (text or "").encode("utf-8", "surrogatepass")
             shas.append(hashlib.sha256(data).hexdigest())
             recipe, start = [], 0
@@ -93,14 +93,13 @@ def _digest(batches, mean_bytes: int):
                 recipe.append({"weak": xxhash.xxh3_64_intdigest(chunk) - (1 << 63), "strong": hashlib.sha256(chunk).digest()})
                 start = end
             recipes.append(recipe)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.string()), pa.array(recipes, kind)], ["doc_id", "text_sha256", "recipe"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shas, pa.string()), pa.array(recipes, kind)], ["row_no", "doc_id", "text_sha256", "recipe"])
 
 
-def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_bytes: int = 4096) -> DataFrame:
-    """(row_no, doc_id, text_sha256, recipe) for every row, written once to the shared folder."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = slim.mapInArrow(lambda it: _digest(it, mean_bytes), f"doc_id bigint, text_sha256 string, recipe {_RECIPE}")
-    return materialize(made.withColumn("row_no", F.monotonically_increasing_id()), "recipes")
+def recipes(slim: DataFrame, mean_bytes: int = 4096) -> DataFrame:
+    """(row_no, doc_id, text_sha256, recipe) for every row of (row_no, doc_id, text), written once to the shared folder."""
+    made = slim.mapInArrow(lambda it: _digest(it, mean_bytes), f"row_no bigint, doc_id bigint, text_sha256 string, recipe {_RECIPE}")
+    return materialize(made, "recipes", lasting=True)
 
 
 def _identified(rows: DataFrame) -> DataFrame:
@@ -122,35 +121,42 @@ def _identified(rows: DataFrame) -> DataFrame:
     return rows.join(fixes, "row_no", "left").select("row_no", "doc_id", "text_sha256", ids.alias("ids"))
 
 
+def _groups(slim: DataFrame, mean_bytes: int) -> DataFrame:
+    """(row_no, doc_id, keep_id, group_size, kept, text_sha256) for each row of (row_no, doc_id, text)."""
+    with passing(slim.sparkSession):
+        rows = _identified(recipes(slim, mean_bytes))
+        best = F.max(F.struct(F.col("doc_id"), F.col("row_no")))
+        groups = rows.groupBy(F.col("ids").alias("g")).agg(F.count("*").alias("group_size"), best.alias("best"))
+        # Written out, the groups meet the rows in a join of two plain exchanges, whose large partitions Spark splits.
+        groups = materialize(groups, "groups", lasting=True)
+    return rows.join(groups, rows["ids"] == groups["g"]).select(
+        "row_no", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
+        (F.col("best.row_no") == F.col("row_no")).alias("kept"), "text_sha256",
+    )
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_bytes: int = 4096) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their ordered identifier lists are.  The row with the
     largest id stays.  Null text counts as empty, and all empty texts form one
     group.  A null id ranks below every other.  Rows repeated with one id are
-    members in their own right, of which one stays.  An empty table gives an
-    empty result; other columns are ignored, whatever their names.
+    members in their own right, of which one stays.  Whole texts count, however
+    long.  An empty table gives an empty result; other columns are ignored,
+    whatever their names.
     """
-    rows = _identified(recipes(docs, id_col, text_col, mean_bytes))
-    best = F.max(F.struct(F.col("doc_id"), F.col("row_no")))
-    groups = rows.groupBy(F.col("ids").alias("g")).agg(F.count("*").alias("group_size"), best.alias("best"))
-    return rows.join(groups, rows["ids"] == groups["g"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
-        (F.col("best.row_no") == F.col("row_no")).alias("kept"), "text_sha256",
-    )
+    slim = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    return _groups(slim, mean_bytes).drop("row_no")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one per distinct text, all columns kept.
+    """The rows of ``docs`` that stay, one for each distinct text, with all columns.
 
-    Rows repeated with the same id and text collapse to one.
+    The row of the largest id stays, as in ``exact_groups``: null and empty
+    texts are one text, a null id ranks below every other, and of rows repeated
+    with one id and text one stays.  Rows are told apart as rows, so columns may
+    have any names, and a text moves once at most.  An empty table stays empty.
     """
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.coalesce(F.col(id_safe(text_col)).cast("string"), F.lit("")).cast("binary"), 256)
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__keep")) & (sha == F.col("__sha"))
-    return docs.join(keep, same, "left_semi").dropDuplicates([id_col, text_col])
-
-
-def id_safe(name: str) -> str:
-    """A column name quoted, so that dots in it are not field access."""
-    return f"`{name}`"
+    rows, number = numbered(docs)
+    slim = rows.select(F.col(number).alias("row_no"), F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    return without(rows, number, _groups(slim, 4096).where("not kept").select("row_no"))

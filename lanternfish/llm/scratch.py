@@ -1,7 +1,7 @@
 """Tables that cut lineage, written to the folder all machines share.
 
-``spark.checkpoint.dir`` names that folder.  Where it is unset (tests, laptops)
-a temporary folder is used, which is only right for local mode.
+``spark.checkpoint.dir`` names that folder.  Only in local mode, where there is
+one machine, a temporary folder stands in for it if it is unset.
 """
 
 from __future__ import annotations
@@ -11,38 +11,92 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[str] = []
+_lasting: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set to a temporary one only where unset."""
+    """The shared checkpoint folder; on a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="lanternfish-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+def materialize(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    ``lasting`` tables outlive the ``passing`` block in which they are written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lanternfish-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
+    if lasting:
+        _lasting.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables written within are deleted at the end, but for the lasting ones."""
+    start = mark()
+    try:
+        yield
+    finally:
+        _delete(spark, [p for p in _written[start:] if p not in _lasting])
+        _written[start:] = [p for p in _written[start:] if p in _lasting]
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int):
-    """Within, actions send at most ``rows`` rows at once to Python workers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    """Within, actions send at most ``rows`` rows, and about ``_BATCH_BYTES``, at once to Python workers."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(_BATCH_BYTES)}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+_BATCH_BYTES = 32 << 20
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name with its dots and backticks taken literally."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written once, with a number for each row in a column of a new name."""
+    name = unused(docs, "row_no")
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered", lasting=True), name
+
+
+def without(rows: DataFrame, number: str, dropped: DataFrame) -> DataFrame:
+    """``rows`` without those in ``dropped`` (one column of numbers), and without the number.
+
+    The numbers are written first, so Spark knows their size: few are sent to
+    the rows, many are met by a join that moves each row once.
+    """
+    gone = materialize(dropped.toDF(number), "dropped", lasting=True)
+    return rows.join(gone, number, "left_anti").drop(number)
 
 
 def mark() -> int:
@@ -52,9 +106,13 @@ def mark() -> int:
 
 def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
     """Delete tables written between two marks; their readers must be done."""
-    jvm = spark._jvm
+    _delete(spark, _written[since:until])
+    _written[since:until] = []
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark._jsc.hadoopConfiguration()
-    for path in _written[since:until]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-    _written[since:until] = []
+        _lasting.discard(path)

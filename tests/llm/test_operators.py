@@ -86,19 +86,15 @@ def noised(text, share, seed):
     return " ".join(w if r.random() > share else r.choice(VOCABULARY) for w in text.split())
 
 
-def test_near_groups_equal_brute_force(spark):
-    passage = prose(120, 99)
-    rows = [(i, t, s) for i, t, s in AWKWARD if i != 6]
-    rows += [(100 + 10 * g + k, noised(prose(200, g), 0.008 * k, 7 * g + k), "s") for g in range(8) for k in range(8)]
-    rows += [(300 + i, passage + " " + prose(60, 500 + i), "s") for i in range(30)]
-    got = near_dedup.near_groups(table(spark, rows)).collect()
-    assert len(got) == len(rows)
+def near_truth(rows):
+    """The number of each row's group, by comparing all pairs that share a shingle."""
     keys = list(words.word_hashes([t for _, t, _ in rows]))
     df = np.zeros(1 << near_dedup.DF_BITS)
     for k in keys:
         df[np.unique(near_dedup._df_slot(k))] += 1
     idf = (np.log((1.0 + len(rows)) / (1.0 + df)) + 1).astype(np.float32)
     sets = [dict(zip(*(x.tolist() for x in near_dedup.weighted_shingles(k, idf)))) for k in keys]
+    mass = [sum(s.values()) for s in sets]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -106,20 +102,108 @@ def test_near_groups_equal_brute_force(spark):
             x = parent[x]
         return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] and sets[j]:
-                shared = sum(min(w, sets[j][s]) for s, w in sets[i].items() if s in sets[j])
-                if shared / (sum(sets[i].values()) + sum(sets[j].values()) - shared) >= 0.8:
-                    a, b = root(i), root(j)
-                    parent[max(a, b)] = min(a, b)
+    having = defaultdict(list)
+    for i, s in enumerate(sets):
+        shared = Counter()
+        for x, w in s.items():
+            for j, v in having[x]:
+                shared[j] += min(w, v)
+            having[x].append((i, w))
+        for j, v in shared.items():
+            if v / (mass[i] + mass[j] - v) >= 0.8:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(rows))]
+
+
+def check_near(spark, rows):
+    got = near_dedup.near_groups(table(spark, rows)).collect()
+    assert len(got) == len(rows)
     groups = defaultdict(list)
-    for i in range(len(rows)):
-        groups[root(i)].append(rows[i][0])
+    for (i, _, _), g in zip(rows, near_truth(rows)):
+        groups[g].append(i)
     want = Counter((i, min((x for x in m if x is not None), default=None), len(m)) for m in groups.values() for i in m)
     assert Counter((r["doc_id"], r["group_id"], r["group_size"]) for r in got) == want
     assert sum(r["kept"] for r in got) == len(groups)
+    return groups
+
+
+def test_near_groups_equal_brute_force(spark):
+    passage = prose(120, 99)
+    rows = list(AWKWARD) + [(8, noised(AWKWARD[7][1], 0.001, 2), "s"), (9, noised(AWKWARD[7][1], 0.2, 3), "s")]
+    rows += [(100 + 10 * g + k, noised(prose(200, g), 0.008 * k, 7 * g + k), "s") for g in range(8) for k in range(8)]
+    rows += [(300 + i, passage + " " + prose(60, 500 + i), "s") for i in range(30)]
+    check_near(spark, rows)
     assert near_dedup.near_groups(table(spark, [])).count() == 0
+    assert near_dedup.drop_near_copies(table(spark, [])).count() == 0
+
+
+def test_near_links_of_texts_far_from_their_leader(spark):
+    """Hundreds of copies of one text, each changed its own way by more or less; chains; and a passage that all share."""
+    base, other, passage = prose(150, 21), prose(150, 22), prose(100, 23)
+    rows = [(i, noised(base, 0.03 + 0.0001 * i, i), "s") for i in range(300)]
+    chain = base.split()
+    for i in range(40):  # each step is near the last, the ends are not
+        chain = [*chain[4:], *prose(4, 900 + i).split()]
+        rows.append((400 + i, " ".join(chain), "s"))
+    for i in range(60):  # twins that lie far from all others of their family
+        twin = noised(other, 0.06, 1000 + i)
+        rows += [(500 + 2 * i, twin, "s"), (501 + 2 * i, noised(twin, 0.01, 2000 + i), "s")]
+    rows += [(1000 + i, passage + " " + prose(100, 3000 + i), "s") for i in range(300)]
+    groups = check_near(spark, rows)
+    assert len(groups) > 350 and max(map(len, groups.values())) > 40
+
+
+def test_difference_filter_is_exact():
+    """Any two similar sets, of which one is far from a third, share a signed shingle early enough."""
+    r = np.random.default_rng(4)
+    least, c = 0.8, 0.2 / 1.8
+    ranks = r.integers(0, 5, 1 << near_dedup.RANK_BITS)
+    pool = np.sort(words.mixed(np.arange(1, 400, dtype=np.uint64)))
+    tried = 0
+    for _ in range(3000):
+        p = r.random(len(pool)) < 0.5
+        x = p ^ (r.random(len(pool)) < r.uniform(0, 0.2))
+        y = x ^ (r.random(len(pool)) < r.uniform(0, 0.12))
+        w = r.gamma(2, 1, len(pool)).astype(np.float32)
+        sets = [(pool[m], w[m] * np.float32(r.uniform(0.97, 1.03))) for m in (x, y, p)]
+        near = lambda a, b: near_dedup.similarity(a, b) >= least
+        if not near(sets[0], sets[1]) or near(sets[0], sets[2]):
+            continue
+        tried += 1
+        seen = []
+        for s in sets[:2]:
+            keys, by = near_dedup.differences(s, sets[2])
+            mass, differs = float(s[1].sum()), float(np.abs(by).sum())
+            limit = mass * 0.25 if not near(s, sets[2]) else (differs + c * (mass - float(sets[2][1].sum()))) / 2
+            signed, left = near_dedup.signed_prefix(keys, by, ranks, limit + 1e-6 * mass)
+            seen.append((dict(zip(signed.tolist(), left.tolist())), differs, mass))
+        (a, da, ma), (b, db, mb) = seen
+        need = (da + db - c * (ma + mb)) / 2
+        assert any(min(a[k], b[k]) >= need - 1e-5 * (ma + mb) for k in a.keys() & b.keys())
+    assert tried > 200
+
+
+def test_dropping_copies_goes_by_row(spark):
+    """Rows repeated with one id, different texts under one id, nulls and clashing names."""
+    one, two = prose(80, 1), prose(80, 2)
+    rows = [(1, one, "a"), (1, one, "b"), (1, two, "c"), (2, two, "d"), (3, noised(two, 0.01, 5), "e"), (5, None, "f"), (5, "", "g"), (None, one, "h"), (None, None, "i"), (6, "!?", "j")]
+    docs = table(spark, rows).withColumns({n: F.lit(n) for n in ("__keep", "__sha", "__id", "__bad", "n_lines", "dropped", "row_no_")})
+    exact = exact_dedup.drop_exact_copies(docs)
+    assert exact.columns == docs.columns
+    got = exact.collect()
+    assert Counter(r["text"] or "" for r in got) == Counter({t or "" for _, t, _ in rows}) and {r["source"] for r in got} >= {"d", "e", "j"}
+    assert all(r["row_no"] == "w" and r["row_no_"] == "row_no_" for r in got)
+    near = near_dedup.drop_near_copies(docs)
+    truth = near_truth(rows)
+    members = defaultdict(list)
+    for g, (i, t, s) in zip(truth, rows):
+        members[g].append((i is None, i, s))
+    kept = near.collect()
+    assert near.columns == docs.columns and len(kept) == len(members)
+    for m in members.values():
+        (row,) = [r for r in kept if r["source"] in {s for *_, s in m}]
+        assert row["doc_id"] == min(m)[1]
 
 
 def test_words_of_every_script(spark):
@@ -158,15 +242,6 @@ def test_samples_estimate_weighted_similarity():
     assert abs(true - share) < 0.15
 
 
-def test_agreement_counts_equal_samples(spark):
-    r = np.random.default_rng(2)
-    a, b = r.integers(0, 3, (2, 40, 64)).astype(np.uint64)
-    rows = [(*near_dedup._marks(x).tolist(), *near_dedup._marks(y).tolist()) for x, y in zip(a, b)]
-    names = [f"m{i}_{x}" for x in "ab" for i in range(near_dedup.PLANES)]
-    df = spark.createDataFrame(rows, ", ".join(f"{n} bigint" for n in names))
-    assert [r[0] for r in df.select(near_dedup._agreeing()).collect()] == (a == b).sum(axis=1).tolist()
-
-
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(1, 1), (1, None)]
