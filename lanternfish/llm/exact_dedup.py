@@ -103,20 +103,27 @@ def recipes(slim: DataFrame, mean_bytes: int = 4096) -> DataFrame:
 
 
 def _identified(rows: DataFrame) -> DataFrame:
-    """Replace digests by verified identifiers: (row_no, doc_id, text_sha256, ids)."""
+    """Replace digests by verified identifiers: (row_no, doc_id, text_sha256, ids).
+
+    Clashes of short names are all but unknown.  What there is of them is written
+    out, so Spark knows its size and moves no recipe to meet an empty table.
+    """
     chunks = rows.select(F.explode("recipe").alias("c")).select("c.*")
     clashing = (
         chunks.groupBy("weak").agg(F.min("strong").alias("low"), F.max("strong").alias("high"))
         .where("low != high").select("weak")
     )
+    clashing = materialize(clashing, "clashing")
     variants = chunks.join(clashing, "weak", "left_semi").distinct()
     variants = variants.groupBy("weak").agg(F.sort_array(F.collect_set("strong")).alias("all"))
     variants = variants.select("weak", F.posexplode("all").alias("variant", "strong")).where("variant > 0")
+    variants = materialize(variants, "variants")
     fixes = (
         rows.select("row_no", F.posexplode("recipe").alias("pos", "c")).select("row_no", "pos", "c.*")
         .join(variants, ["weak", "strong"])
         .groupBy("row_no").agg(F.map_from_entries(F.collect_list(F.struct("pos", "variant"))).alias("variant_of"))
     )
+    fixes = materialize(fixes, "fixes", lasting=True)
     ids = F.transform("recipe", lambda c, i: F.struct(c["weak"].alias("chunk"), F.coalesce(F.col("variant_of")[i], F.lit(0)).alias("variant")))
     return rows.join(fixes, "row_no", "left").select("row_no", "doc_id", "text_sha256", ids.alias("ids"))
 
