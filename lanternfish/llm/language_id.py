@@ -94,16 +94,14 @@ def _range_sums(w, ids, starts, ends) -> np.ndarray:
     return sums
 
 
-def posteriors(scores: np.ndarray, new_text: np.ndarray, transitions: np.ndarray, step: int = 64) -> np.ndarray:
-    """Posterior of each label for each word, by forward-backward.
+def _messages(scores: np.ndarray, new_text: np.ndarray, transitions: np.ndarray, step: int) -> tuple[np.ndarray, ...]:
+    """(forward and backward messages, both with the word's own score; that score's exponential, scaled; that of the moves).
 
     ``new_text`` marks the first word of each text, where the chain starts
     afresh.  The chain is cut into rows of ``step`` words: each row's transfer
     matrix first, then the vectors at the cuts, then all rows at once.
     """
     n, size = scores.shape
-    if not n:
-        return np.zeros((0, size))
     rows = -(-n // step)
     e = np.ones((rows * step, size))
     e[:n] = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -135,7 +133,7 @@ def posteriors(scores: np.ndarray, new_text: np.ndarray, transitions: np.ndarray
         leave[r] = v
         v = m[r] @ v
         v /= v.sum()
-    alpha = np.empty((rows, step, size))
+    alpha, beta = np.empty((rows, step, size)), np.empty((rows, step, size))
     v = enter
     for s in range(step):
         v = forward(v, s) * e[:, s]
@@ -143,15 +141,37 @@ def posteriors(scores: np.ndarray, new_text: np.ndarray, transitions: np.ndarray
         alpha[:, s] = v
     v = leave
     for s in range(step - 1, -1, -1):
-        alpha[:, s] *= v
-        back = e[:, s] * v
+        back = beta[:, s] = e[:, s] * v
         v = back @ t.T
         at = fresh[:, s]
         if at.any():
             v[at] = (back[at] @ even)[:, None]
         v /= v.sum(axis=1, keepdims=True)
-    alpha /= alpha.sum(axis=2, keepdims=True)
-    return alpha.reshape(-1, size)[:n]
+    return alpha.reshape(-1, size)[:n], beta.reshape(-1, size)[:n], e.reshape(-1, size)[:n], t
+
+
+def posteriors(scores: np.ndarray, new_text: np.ndarray, transitions: np.ndarray, step: int = 64) -> np.ndarray:
+    """Posterior of each label for each word, by forward-backward."""
+    if not len(scores):
+        return np.zeros(scores.shape)
+    alpha, beta, e, _ = _messages(scores, new_text, transitions, step)
+    p = alpha * beta / np.maximum(e, 1e-300)
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def pair_marginals(scores: np.ndarray, new_text: np.ndarray, transitions: np.ndarray, step: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(posteriors, sum of the posteriors of each move): what the likelihood's gradient needs.
+
+    A move from word i - 1 to word i has the forward message of the one, the
+    weight of the move, and the backward message of the other with its score.
+    """
+    alpha, beta, e, t = _messages(scores, new_text, transitions, step)
+    p = alpha * beta / np.maximum(e, 1e-300)
+    later = np.flatnonzero(~new_text)
+    later = later[later > 0]
+    joint = alpha[later - 1, :, None] * t * beta[later, None, :]
+    joint /= joint.sum(axis=(1, 2), keepdims=True)
+    return p / p.sum(axis=1, keepdims=True), joint.sum(axis=0)
 
 
 def labelled(texts: list[str | None], model: Model):
@@ -242,16 +262,12 @@ def train(texts: list[str], labels: list[str], rounds: int = 30, length: int = 6
     np.add.at(seen, (y[later - 1], y[later]), 1)
     for _ in range(rounds):
         scores = np.add.reduceat(w[flat], offsets, axis=0)
-        p = posteriors(scores, fresh, t)
+        p, moves = pair_marginals(scores, fresh, t)
         gap = hot - p
         grad = np.stack([np.bincount(flat, weights=gap[owner, k], minlength=len(used)) for k in range(size)], axis=1) / total - 1e-7 * w
         sw += grad * grad
         w += 0.4 * grad / np.sqrt(sw)
-        # Expected moves, by the product of neighbouring posteriors and the weight of the move.
-        move = np.exp(t - t.max())
-        joint = p[later - 1, :, None] * move * p[later, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        gt = (seen - joint.sum(axis=0)) / total
+        gt = (seen - moves) / total
         st += gt * gt
         t += 0.15 * gt / np.sqrt(st)
     weights = np.zeros((1 << BITS, size), dtype=np.float32)
@@ -356,7 +372,14 @@ def _sift(batches, position: int, model, least: float):
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` whose language is determined with a share of ``least`` or more."""
+    """The rows of ``docs`` whose language is determined with a share of ``least`` or more; all columns stay.
+
+    Null, empty and letterless texts go, and so does every row where there is
+    no model.  Whole texts are judged, however long.  Of equal shares the first
+    language by name counts, which changes nothing here.  Repeated rows are
+    judged alike; ids and other columns are not read, so they may be null and
+    have any names.  An empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     position = docs.columns.index(text_col)
     return docs.mapInArrow(lambda it: _sift(it, position, sent.value, least), docs.schema)

@@ -24,7 +24,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether any character is a letter; numerals of any kind are none."""
+    return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
 @lru_cache(maxsize=4)
