@@ -5,9 +5,15 @@ links: at each position every piece that ends there relaxes the best score of
 the prefix, so the segmentation with the largest total score falls out at the
 end (Viterbi).  Characters that no piece covers become byte pieces.
 
-No piece goes on past the blank that starts the next word, so a text's best
-segmentation is that of its words side by side.  Words are therefore encoded
-once and kept in a bounded table.
+Where no piece of a model goes on past the blank that starts the next word, a
+text's best segmentation is that of its words side by side, and the pass over a
+word is made once and kept in a bounded table.  For any other model the pass
+goes over the whole text.
+
+The segmentation is the one of the largest total score, as in SentencePiece's
+unigram models.  The scores of a BPE model are the order of its merges, and
+SentencePiece encodes with such a model by merging, so its ids differ from
+these; decoding either gives the text.
 """
 
 from __future__ import annotations
@@ -24,15 +30,20 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 _KEEP = 200_000
+_STEPS = 500_000
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces that may be matched (text, score, id), byte pieces, and all ids' bytes."""
+    """Pieces that may be matched (text, score, id), byte pieces, and all ids' bytes.
+
+    ``by_words`` tells that no piece goes on past the start of a word.
+    """
 
     pieces: list[tuple[str, float, int]]
     byte_ids: list[int]
     spelled: list[bytes]
+    by_words: bool
 
 
 def load(model_path: str) -> Vocabulary:
@@ -51,9 +62,7 @@ def load(model_path: str) -> Vocabulary:
         else:
             pieces.append((text, sp.get_score(i), i))
             spelled.append(text.replace(BLANK, " ").encode())
-    if any(BLANK in text.lstrip(BLANK) for text, _, _ in pieces):
-        raise ValueError("a piece goes on past the start of a word")
-    return Vocabulary(pieces, byte_ids, spelled)
+    return Vocabulary(pieces, byte_ids, spelled, not any(BLANK in text.lstrip(BLANK) for text, _, _ in pieces))
 
 
 class Automaton:
@@ -83,6 +92,8 @@ class Automaton:
                 queue.append(after)
             back = self.fail[state]
             self.output[state] = back if self.ends[back] else self.output[back]
+        #: Steps taken lately, failure links followed.
+        self.steps: dict[tuple[int, str], int] = {}
         #: The pieces that end in each state: its output links followed once for all.
         self.found = [tuple(self._follow(s)) for s in range(len(self.goto))]
 
@@ -100,11 +111,18 @@ class Automaton:
         n, goto, fail, found = len(text), self.goto, self.fail, self.found
         score = [0.0] * (n + 1)
         back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        state = 0
+        state, steps = 0, self.steps
         for i, c in enumerate(text):
-            while state and c not in goto[state]:
-                state = fail[state]
-            state = goto[state].get(c, 0)
+            after = steps.get((state, c))
+            if after is None:
+                here = state
+                while here and c not in goto[here]:
+                    here = fail[here]
+                after = goto[here].get(c, 0)
+                if len(steps) >= _STEPS:
+                    steps.clear()
+                steps[state, c] = after
+            state = after
             end = i + 1
             top, what = score[i] + unknown, (1, -1)
             for length, gain, number in found[state]:
@@ -121,13 +139,19 @@ class Automaton:
 
 
 class Codec:
-    """Encode texts to ids and back.  A blank is put before every text, as in training."""
+    """Encode texts to ids and back.  A blank is put before every text, as in training.
+
+    A word is a run of blanks and of characters that pieces join, the blanks first.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.automaton = Automaton(vocabulary.pieces)
         self.unknown = min((s for _, s, _ in vocabulary.pieces), default=0.0) - 10.0
-        self._words = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        # Pieces join these characters only; any other is a unit of its own, such as the end of a line.
+        joined = {c for text, _, _ in vocabulary.pieces if len(text) > 1 for c in text} - {BLANK}
+        some = "".join(map(re.escape, sorted(joined)))
+        self._words = re.compile(f"{BLANK}*[{some}]+|{BLANK}+|[^{BLANK}]" if some else f"{BLANK}+|[^{BLANK}]", re.DOTALL)
         #: Words seen lately, in two generations of bounded size.
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
@@ -145,18 +169,26 @@ class Codec:
         """Ids of ``text``; an empty text has none."""
         if not text:
             return np.zeros(0, np.uint32)
-        found = []
-        for word in self._words.findall(BLANK + text.replace(" ", BLANK)):
-            ids = self._known.get(word)
-            if ids is None:
-                ids = self._older.get(word) or self._word(word)
-                if len(word) < 64:
-                    if len(self._known) >= _KEEP:
-                        self._known, self._older = {}, self._known
-                    self._known[word] = ids
-            found.append(ids)
+        whole = BLANK + text.replace(" ", BLANK)
+        if not self.vocabulary.by_words:
+            return np.frombuffer(self._word(whole), dtype=np.uint32)
+        words = self._words.findall(whole)
+        found = list(map(self._known.get, words))
+        if None in found:
+            for i, (word, ids) in enumerate(zip(words, found)):
+                if ids is None:
+                    found[i] = self._learned(word)
         return np.frombuffer(b"".join(found), dtype=np.uint32)
 
+    def _learned(self, word: str) -> bytes:
+        """The ids of a word, which is kept unless it is long."""
+        ids = self._known.get(word) or self._older.get(word) or self._word(word)
+        if len(word) < 64:
+            if len(self._known) >= _KEEP:
+                self._known, self._older = {}, self._known
+            self._known[word] = ids
+        return ids
+
     def decode(self, ids) -> str:
         """The text of ``ids``; bytes that are no UTF-8 become replacement characters."""
         spelled = self.vocabulary.spelled
@@ -203,7 +235,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per input row: doc_id, text.  Null and empty lists give an empty text."""
+    """One row per input row: doc_id, text.
+
+    Null and empty lists give an empty text, and ids in a row may spell any
+    length of text.  Repeated rows and null ids each give their row; equal
+    lists give equal texts.  Bytes that are no UTF-8 become replacement
+    characters.  An id outside the model, or a null one in a list, raises an
+    error.  An empty table gives an empty result; other columns are ignored.
+    """
     sent = encoded.sparkSession.sparkContext.broadcast(load(model_path))
     slim = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return slim.mapInArrow(lambda it: _decode(it, sent.value), "doc_id bigint, text string")
