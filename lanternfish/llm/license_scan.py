@@ -204,10 +204,20 @@ def train(paragraphs: list[str], copies: int = 60, rounds: int = 150, seed: int
 
 
 def training_paragraphs(docs: DataFrame, id_col: str, text_col: str, sample_docs: int, sample_chars: int) -> list[str]:
-    """Paragraphs of at most ``sample_docs`` documents, picked by hash of the id; training only."""
+    """Paragraphs of at most ``sample_docs`` documents, picked by hash of id and text; training only.
+
+    Of each document a window of ``sample_chars`` characters somewhere in the
+    text is used.  A share of the rows by hash is looked at, some times as many
+    as are wanted in all, so what reaches the driver does not grow with the table.
+    """
+    text = F.col(text_col)
+    usable = docs.where(text.isNotNull())
+    share = min(1.0, 8 * sample_docs / max(usable.count(), 1))
+    h = F.xxhash64(F.col(id_col), text)
+    begin = (F.pmod(F.xxhash64(h), F.greatest(F.length(text) - sample_chars, F.lit(0)) + 1) + 1).cast("int")
     rows = (
-        docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.substring(F.col(text_col), 1, sample_chars).alias("t"))
-        .orderBy("h", "t").limit(sample_docs).collect()
+        usable.select(h.alias("h"), text.substr(begin, F.lit(sample_chars)).alias("t"))
+        .where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).orderBy("h", "t").limit(sample_docs).collect()
     )
     return [p for r in rows for p in r["t"].split("\n") if p.strip()]
 
