@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -119,10 +121,13 @@ def find_spans(text: str, count_tokens, max_ratio: float) -> list[tuple[str, int
     runs = [m.span() for m in _RUN.finditer(text)]
     if any(b - a >= 32 for a, b in runs):
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = list(found)
+    # Of the pattern spans by start, the furthest end so far: a span is met by one of those that start before its end.
+    starts = sorted(x for x, _, _ in found)
+    furthest = list(accumulate((y for _, _, y in sorted(found)), max))
     for a, b in runs:
         for s, e in random_parts(text[a:b], count_tokens, max_ratio):
-            if not any(x < a + e and a + s < y for x, _, y in base):
+            before = bisect_left(starts, a + e)
+            if not before or furthest[before - 1] <= a + s:
                 found.append((a + s, 3, a + e))
     return [(KINDS[k], s, e) for s, k, e in sorted(found)]
 
@@ -175,7 +180,13 @@ def _redact(batches, position: int, ranks, make, max_ratio: float):
 
 
 def redact(docs: DataFrame, ranks_path: str, text_col: str = "text", max_ratio: float = 2.0) -> DataFrame:
-    """``docs`` with secrets in the text masked; all rows and columns stay."""
+    """``docs`` with secrets in the text masked; all rows and columns stay.
+
+    Findings that overlap or touch in their order become one mask.  Null and
+    empty texts and texts without findings come back as they are; whole texts
+    are read, however long.  Repeated rows are masked alike; other columns,
+    null or not and of any names, pass through.  An empty table stays empty.
+    """
     ranks, make = load_encoding(ranks_path)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
     position = docs.columns.index(text_col)
