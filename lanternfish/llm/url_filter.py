@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lanternfish.llm.graph import components
-from lanternfish.llm.scratch import materialize
+from lanternfish.llm.scratch import materialize, passing, quoted
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: The element's tag, then its target, in whichever order its attributes stand.
+COMMENT = r"(?s)<!--.*?(-->|$)"
 CANONICAL = r"(?i)<link\s[^>]*rel\s*=\s*[\"']?canonical[^>]*>"
 HREF = r"(?i)\shref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?i)<meta\s[^>]*http-equiv\s*=\s*[\"']?refresh[^>]*>"
@@ -92,8 +93,12 @@ def resolved(base: Column, link: Column) -> Column:
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(a, b): the page and the target of its canonical link or refresh, where it has one."""
-    html, url = F.coalesce(F.col(html_col), F.lit("")), F.col(url_col)
+    """(a, b): the page and the target of its canonical link or refresh, where it has one.
+
+    Comments count for nothing, nor do pages without html or without a URL that
+    holds ``://``.  Repeated rows give repeated edges; other columns are ignored.
+    """
+    html, url = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), COMMENT, ""), F.col(url_col)
     found = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1))
     links = pages.where(url.contains("://")).select(url.alias("url"), F.explode(found).alias("link"))
     # One target a row, by explode, so that the long expression isn't copied into the next.
@@ -124,14 +129,16 @@ def judge(pages: DataFrame, edges: DataFrame, rules: list[Rule], id_col: str = "
     rows and null ids each give their row; edges with a null end are no edges;
     empty tables give empty results; other columns are ignored.
     """
-    linked = components(edges.select("a", "b"))
-    own = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)[1]
-    nodes = linked.select("node", "component", own.alias("own"))
-    blocked = nodes.where("own = 'block'").select("component").distinct()
-    tainted = nodes.where("own is null").join(blocked, "component", "left_semi").select("node")
-    tainted = materialize(tainted, "tainted").withColumn("hit", F.lit(True))
-    url = F.col(url_col).cast("string")
-    named = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
+    with passing(pages.sparkSession):
+        linked = components(edges.select("a", "b"))
+        own = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)[1]
+        nodes = materialize(linked.select("node", "component", own.alias("own")), "nodes")
+        # Written out, so that components with very many nodes can be split in the join.
+        blocked = materialize(nodes.where("own = 'block'").select("component").distinct(), "blocked")
+        tainted = nodes.where("own is null").join(blocked, "component", "left_semi").select("node")
+        tainted = materialize(tainted, "tainted", lasting=True).withColumn("hit", F.lit(True))
+    url = F.col(quoted(url_col)).cast("string")
+    named = pages.select(F.col(quoted(id_col)).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node"))
     text, action = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(action, F.when(F.col("hit"), "block"), F.lit("allow"))
     return named.join(tainted, "node", "left").select("page_id", "host", "path", text.alias("rule"), verdict.alias("verdict"))
