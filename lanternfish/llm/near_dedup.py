@@ -49,8 +49,8 @@ RANK_BITS = 20
 _SLACK = 1e-6
 _STEP = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _BLOCK = 2048
-#: Bytes of shingle sets sent at once, and rows of texts or pairs of sets.
-_SEND, _TEXTS, _PAIRS = 4 << 20, 1000, 200
+#: Bytes of shingle sets sent at once.
+_SEND = 4 << 20
 
 
 def _df_slot(keys: np.ndarray) -> np.ndarray:
@@ -244,7 +244,7 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float, label: str) -> DataFrame:
     """(a, b, near) for each pair of classes."""
-    with small_batches(pairs.sparkSession, _PAIRS):
+    with small_batches(pairs.sparkSession):
         return materialize(_with_sets(pairs, sets).mapInArrow(lambda it: _verify(it, least), "a bigint, b bigint, near boolean"), label)
 
 
@@ -369,7 +369,7 @@ def _linked(classes: DataFrame, texts: DataFrame, idf, least: float) -> DataFram
     bits = spark.sparkContext.broadcast(_filter_bits(crowded))
     found = texts.mapInArrow(lambda it: _sets(it, idf.value, bits.value), "h1 bigint, h2 bigint, shingles binary, weights binary")
     found = found.groupBy("h1", "h2").agg(F.first("shingles").alias("shingles"), F.first("weights").alias("weights"))
-    with small_batches(spark, _TEXTS):
+    with small_batches(spark):
         sets = materialize(found.join(crowded, ["h1", "h2"]).select("class", "shingles", "weights"), "sets")
 
     met = _verified(_led(buckets), sets, least, "met")
@@ -377,7 +377,7 @@ def _linked(classes: DataFrame, texts: DataFrame, idf, least: float) -> DataFram
     parts = materialize(components(links), "parts")
     parts = crowded.select("class").join(parts, crowded["class"] == parts["node"], "left").select("class", F.coalesce("component", "class").alias("c"))
     parts = materialize(parts, "parts")
-    with small_batches(spark, _PAIRS):
+    with small_batches(spark):
         ranks = spark.sparkContext.broadcast(_gathered(sets.select("shingles").mapInArrow(_count_shingles, "slot int, n bigint"), RANK_BITS)[0])
         opened = _with_sets(_open(met, parts), sets)
         entries = materialize(opened.mapInArrow(lambda it: _emit_differences(it, ranks.value, least), _ENTRY), "differences")
@@ -391,7 +391,7 @@ def _groups(slim: DataFrame, least: float) -> DataFrame:
     """(row_no, doc_id, group_id, group_size, kept) for each row of (doc_id, row_no, text)."""
     spark = slim.sparkSession
     with passing(spark):
-        with small_batches(spark, _TEXTS):
+        with small_batches(spark):
             idf = spark.sparkContext.broadcast(word_idf(slim, "text"))
             signed = slim.mapInArrow(lambda it: _sign(it, idf.value), "doc_id bigint, row_no bigint, h1 bigint, h2 bigint, bands array<bigint>")
             signed = materialize(signed, "signed")

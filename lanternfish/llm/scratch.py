@@ -53,21 +53,33 @@ def passing(spark: SparkSession):
         _written[start:] = [p for p in _written[start:] if p in _lasting]
 
 
+#: Bytes sent at once to a Python worker, about, within ``small_batches``.
+_BATCH_BYTES = 8 << 20
+_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session sends at most about 8 MB at once to Python workers.
+
+    For results that are evaluated after their operator has returned.  Every
+    task has a few batches outside the heap, which executors keep.
+    """
+    spark.conf.set(_BYTES_KEY, str(_BATCH_BYTES))
+
+
 @contextmanager
-def small_batches(spark: SparkSession, rows: int):
-    """Within, actions send at most ``rows`` rows, and about ``_BATCH_BYTES``, at once to Python workers."""
-    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(_BATCH_BYTES)}
-    before = {key: spark.conf.get(key) for key in wanted}
-    for key, value in wanted.items():
-        spark.conf.set(key, value)
+def small_batches(spark: SparkSession):
+    """Within, actions send bounded bytes at once to Python workers, however long the rows.
+
+    The number of rows a batch stays as it is: workers of another number are
+    another pool, and executors would keep both.
+    """
+    before = spark.conf.get(_BYTES_KEY)
+    bound_batches(spark)
     try:
         yield
     finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
-
-
-_BATCH_BYTES = 32 << 20
+        spark.conf.set(_BYTES_KEY, before)
 
 
 def unused(df: DataFrame, name: str) -> str:

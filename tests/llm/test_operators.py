@@ -579,5 +579,126 @@ def test_nearest(spark):
         hits += len({m["vec_id"] for m in mine} & set(best.tolist()))
         total += 20
     assert hits / total >= 0.9 and not {r["query_id"] for r in got} - set(range(0, 900, 20))
+    odd = spark.createDataFrame([(1, [1e-170, 2e-170], "q"), (2, [3e-170, 1e-170], "q"), (3, [1e150, 1e150], "q"), (3, [5e149, 1e150], "q"), (4, [-1e-170, 0.0], "q")], "vec_id bigint, embedding array<double>, score string")
+    assert [(r["query_id"], r["vec_id"]) for r in ann.nearest(odd, odd.where("vec_id = 4")).orderBy("rank").collect()] == [(4, 1), (4, 2), (4, 3)]
+    assert {(r["vec_id"], r["score"]) for r in ann.nearest(odd, odd.where("vec_id = 2")).collect()} >= {(3, 5e149 * 3e-170 + 1e150 * 1e-170)}
     few = vectors.where("vec_id < 3")
     assert ann.nearest(few, few.where("vec_id = 0")).count() == 2 and ann.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_recall_and_verified_share_of_a_full_shard():
+    """On vectors in no order at all, the hardest case, few are verified and most neighbours found."""
+    r = np.random.default_rng(12)
+    x = r.normal(size=(ann.SHARD_ROWS, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, len(x), 410)
+    lines = ann.Lines(x, 1.0)
+    found = lines.search(x[asked], 20, asked)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    recall = np.mean([len(set(a.tolist()) & set(b.tolist())) / 20 for a, b in zip(found, best)])
+    assert recall >= 0.9 and lines.verified <= 0.1 * len(asked) * len(x), (recall, lines.verified / len(asked) / len(x))
+
+
+def test_moves_by_enumeration():
+    from itertools import product
+
+    r = np.random.default_rng(6)
+    scores, moves = r.normal(size=(7, 3)), r.normal(size=(3, 3))
+    new = np.array([True, False, False, False, True, False, False])
+    want, each = np.zeros((3, 3)), np.zeros((7, 3))
+    for a, b in ((0, 4), (4, 7)):
+        total, pairs, own = 0.0, np.zeros((3, 3)), np.zeros((7, 3))
+        for path in product(range(3), repeat=b - a):
+            p = np.exp(sum(scores[a + i, k] for i, k in enumerate(path)) + sum(moves[x, y] for x, y in zip(path, path[1:])))
+            total += p
+            for x, y in zip(path, path[1:]):
+                pairs[x, y] += p
+            for i, k in enumerate(path):
+                own[a + i, k] += p
+        want += pairs / total
+        each += own / total
+    p, sums = language_id.pair_marginals(scores, new, moves, step=2)
+    assert np.allclose(sums, want) and np.allclose(p, each)
+
+
+def test_language_of_odd_texts(spark):
+    model = language_id.train(["the cat sat on the mat"] * 20 + ["le chat est sur la table"] * 20, ["en"] * 20 + ["fr"] * 20)
+    rows = [(1, "½ ² ½", "a"), (2, "①②", "a"), (3, "٣٤٥ Ⅷ", "a"), (4, "_ 12", "a"), (5, "x", "a"), (6, None, "a"), (7, "the cat ½ sat", "a")]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(table(spark, rows), model).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (1, 2, 3, 4, 6)) and got[5][0] in ("en", "fr") and got[7][0] == "en"
+    even = language_id.Model(["aa", "bb"], np.zeros((1 << language_id.BITS, 2), np.float32), np.zeros((2, 2)), np.zeros(0, np.uint64))
+    assert {(r["lang_pred"], r["score"]) for r in language_id.predict(table(spark, [(1, "some words here", "a")]), even).collect()} == {("aa", 0.5)}
+    assert language_id.predict(table(spark, []), model).count() == 0 and language_id.keep_identified(table(spark, []), model).count() == 0
+    kept = language_id.keep_identified(table(spark, [*rows, rows[4]]), model)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [5, 5, 7] and kept.columns == table(spark, []).columns
+
+
+def test_predictions_equal_a_plain_field(spark):
+    """Features and scores word by word, and posteriors by enumeration of all labellings."""
+    from itertools import product
+
+    model = language_id.train(["the cat sat on the mat with the hat"] * 9 + ["le chat est sur la table avec un chapeau"] * 9, ["en"] * 9 + ["fr"] * 9)
+    spot = lambda v, salt: ((v + 1) * int(language_id._SALT[salt]) % (1 << 64)) >> (64 - language_id.BITS)
+
+    def score(word):
+        b = [0x20, *word.encode(), 0x20]
+        ids = [spot(b[i] << 8 | b[i + 1], 0) for i in range(len(b) - 1)] + [spot((b[i] << 8 | b[i + 1]) << 8 | b[i + 2], 1) for i in range(len(b) - 2)]
+        head, tail = [*word.encode(), 0x20, 0x20][:3], [0x20, 0x20, *word.encode()][-3:][::-1]
+        ids += [spot(head[0] << 16 | head[1] << 8 | head[2], 2), spot(tail[0] << 16 | tail[1] << 8 | tail[2], 3)]
+        raw, starts, ends, _ = words.split([(0, word)])
+        key = words.hashes(raw, starts, ends)[0]
+        if key in set(model.lexicon.tolist()):
+            ids.append(spot(int(key), 4))
+        return sum(model.weights[i].astype(float) for i in ids)
+
+    for text in ("the chat sat avec", "le hat", "unseen words sur la"):
+        scores = [score(w) for w in text.split()]
+        mass = np.zeros((len(scores), 2))
+        for path in product(range(2), repeat=len(scores)):
+            p = np.exp(sum(s[k] for s, k in zip(scores, path)) + sum(model.transitions[x, y] for x, y in zip(path, path[1:])))
+            for i, k in enumerate(path):
+                mass[i, k] += p
+        share = (mass / mass.sum(axis=1, keepdims=True)).mean(axis=0)
+        (row,) = language_id.predict(table(spark, [(1, text, "a")]), model).collect()
+        assert row["lang_pred"] == model.labels[share.argmax()] and abs(row["score"] - share.max()) < 1e-4, text
+
+
+def test_lines_of_odd_tables(spark):
+    rows = [(i, f"own {i} line of text\nshared boilerplate line", f"s{i}") for i in range(12)]
+    docs = table(spark, rows).withColumns({n: F.lit(n) for n in ("__id", "__bad", "own_id", "gone", "n_lines", "h1", "key", "site")})
+    out = line_dedup.remove_boilerplate(docs)
+    assert out.columns == [*docs.columns, "n_lines_", "n_removed"]
+    assert {(r["n_lines"], r["n_lines_"], r["n_removed"]) for r in out.collect()} == {("n_lines", 2, 1)}
+    long = "\n".join([f"line number {i} of a long text" for i in range(20_000)] + ["shared boilerplate line"])
+    (row,) = [r for r in line_dedup.remove_boilerplate(table(spark, [*rows, (50, long, "s1")])).collect() if r["doc_id"] == 50]
+    assert row["n_removed"] == 1 and row["text"] == long.rpartition("\n")[0]
+
+
+def test_empty_tables_and_clashing_names(spark):
+    none = table(spark, [])
+    assert license_scan.scan(none, licence_model()).count() == 0
+    assert secret_scan.scan(none, RANKS).count() == 0 and secret_scan.redact(none, RANKS).count() == 0
+    assert sentencepiece_codec.encode(none, MODEL).count() == sentencepiece_codec.digest(none, MODEL).count() == 0
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string, node string, hit string")
+    assert url_filter.judge(pages, url_filter.page_edges(pages), RULES).count() == 0
+    twice = secret_scan.redact(table(spark, [(1, "token=abcdefgh1", "a")] * 2 + [(None, None, None)]), RANKS)
+    assert Counter(r["text"] for r in twice.collect()) == {"[SECRET]": 2, None: 1}
+
+
+def test_pieces_across_blanks_take_one_pass():
+    """A model whose pieces go on past a blank is no word table; the pass goes over the text."""
+    pieces = [("▁", -3.0, 256), ("a", -2.0, 257), ("b", -2.0, 258), ("▁a", -2.5, 259), ("a▁b", -3.0, 260), ("b▁", -2.2, 261)]
+    vocabulary = sentencepiece_codec.Vocabulary(pieces, list(range(256)), [bytes([i]) for i in range(256)] + [t.replace("▁", " ").encode() for t, _, _ in pieces], False)
+    codec = sentencepiece_codec.Codec(vocabulary)
+    r = random.Random(2)
+    for _ in range(200):
+        text = "".join(r.choice("ab c") for _ in range(r.randint(1, 9)))
+        whole = "▁" + text.replace(" ", "▁")
+        best = [0.0] + [-1e9] * len(whole)
+        for e in range(1, len(whole) + 1):
+            best[e] = max([best[e - 1] + codec.unknown] + [best[e - len(t)] + s for t, s, _ in pieces if len(t) <= e and whole[e - len(t) : e] == t])
+        ids = codec.encode(text)
+        cost = sum(dict((i, s) for _, s, i in pieces)[x] for x in ids.tolist() if x > 255) + codec.unknown * whole.count("c")
+        assert abs(cost - best[-1]) < 1e-9 and codec.decode(ids) == text
