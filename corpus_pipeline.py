@@ -16,7 +16,7 @@ from lanternfish.llm.packing import pack
 from lanternfish.llm.queries import held_out, tokenizer
 from lanternfish.llm.secret_scan import redact
 
-#: None: no stage but the exact dedup can be said in SQL; tests/llm holds the brute-force version.
+#: None: no stage but the exact dedup can be said in SQL; tests/llm/test_pipeline.py holds the brute-force version.
 ORACLE_SQL = None
 
 
@@ -49,6 +49,7 @@ def _stage(function):
     """The stage, after removing what the stages before it wrote for themselves."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        scratch.bound_batches(spark)
         scratch.release(spark, *_own)
         start = scratch.mark()
         out = function(spark, docs, sf_dir)
