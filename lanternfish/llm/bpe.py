@@ -17,13 +17,14 @@ from functools import lru_cache
 
 import numpy as np
 
+from lanternfish.llm.words import powers
+
 #: Fixed by Unicode: the code points with property White_Space.
 SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _SAFE_CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85\xa0])[ \n]")
-_SLICE = 800_000
-_KEEP = 400_000
-_PRIME = 0x9E3779B97F4A7C15
+_SLICE = 250_000
+_KEEP = 200_000
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -35,16 +36,6 @@ def _classes() -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_PRIME, pow(_PRIME, -1, 1 << 64)):
-        p = np.full(n + 1, base, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
 def word_starts(cps: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     """Positions where a word starts; ``doc_starts`` are those of non-empty texts."""
     n = len(cps)
@@ -186,7 +177,7 @@ class Encoder:
         starts = word_starts(cps, bounds[:-1][sizes > 0])
         n = len(cps)
         ends = np.append(starts[1:], n)
-        power, inverse = _powers(max(1 << 20, 1 << n.bit_length()))
+        power, inverse = powers(n)
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((cps + np.uint64(1)) * power[:n], out=sums[1:], dtype=np.uint64)
         keys = (sums[ends] - sums[starts]) * inverse[starts]

@@ -19,28 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanternfish.llm.scratch import materialize, numbered, passing, quoted, without
+from lanternfish.llm.words import powers
 
 WINDOW = 48
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _FINAL = np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes looked at together; longer texts go through in overlapping blocks.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 _RECIPE = "array<struct<weak:bigint,strong:binary>>"
 
 
-def _powers(n: int) -> np.ndarray:
-    p = np.full(n, _BASE, dtype=np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
-
-
-_POW = _powers(_BLOCK + WINDOW + 1)
-_INV = _POW.copy()
-_INV[1:] = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_INV = np.cumprod(_INV, dtype=np.uint64)
-
-
 def cut_points(data: bytes, mean_bytes: int = 4096) -> list[int]:
     """Ends of the chunks of ``data``; the condition depends on 48 bytes only.
 
@@ -52,15 +40,16 @@ def cut_points(data: bytes, mean_bytes: int = 4096) -> list[int]:
         return [n] if n else []
     bits = np.uint64(64 - max(1, (mean_bytes - least).bit_length() - 1))
     raw = np.frombuffer(data, dtype=np.uint8)
+    power, inverse = powers(_BLOCK + WINDOW)
     marks = []
     for at in range(0, n - WINDOW + 1, _BLOCK):
         part = raw[at : at + _BLOCK + WINDOW - 1].astype(np.uint64)
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum((part + np.uint64(1)) * _POW[: len(part)], out=sums[1:], dtype=np.uint64)
+        np.cumsum((part + np.uint64(1)) * power[: len(part)], out=sums[1:], dtype=np.uint64)
         here = len(part) - WINDOW + 1
         if here <= 0:
             break
-        rolled = (sums[WINDOW:] - sums[:here]) * _INV[:here]
+        rolled = (sums[WINDOW:] - sums[:here]) * inverse[:here]
         rolled ^= rolled >> np.uint64(31)
         hit = np.flatnonzero((rolled * _FINAL) >> bits == 0)
         marks.append(hit + (at + WINDOW))

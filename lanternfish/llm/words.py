@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-SLICE = 500_000
+SLICE = 250_000
 _IN_WORD = np.array([chr(b).isalnum() if b < 128 else True for b in range(256)])
 IN_LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 _PRIME = 0x9E3779B97F4A7C15
@@ -28,15 +28,18 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
-@lru_cache(maxsize=4)
+_tables: list[np.ndarray] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first powers of an odd constant and of its inverse, modulo 2**64."""
-    out = []
-    for base in (_PRIME, pow(_PRIME, -1, 1 << 64)):
-        p = np.full(n + 1, base, dtype=np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
+    """The powers of an odd constant and of its inverse, modulo 2**64, to the n-th at least; one table a worker, which grows."""
+    if not _tables or len(_tables[0]) <= n:
+        _tables.clear()
+        for base in (_PRIME, pow(_PRIME, -1, 1 << 64)):
+            p = np.full((1 << max(19, n.bit_length())) + 1, base, dtype=np.uint64)
+            p[0] = 1
+            _tables.append(np.cumprod(p, dtype=np.uint64))
+    return _tables[0], _tables[1]
 
 
 def mixed(keys: np.ndarray) -> np.ndarray:
@@ -125,7 +128,7 @@ def split_characters(group: list[tuple[int, str]]):
 def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     n = len(raw)
-    power, inverse = powers(max(1 << 20, 1 << n.bit_length()))
+    power, inverse = powers(n)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((raw + np.uint64(1)) * power[:n], out=sums[1:], dtype=np.uint64)
     return mixed((sums[ends] - sums[starts]) * inverse[starts])
