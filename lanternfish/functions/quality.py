@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanternfish.functions.text import WORD
+from lanternfish.functions.text import WORD, run_starts
 
 
 def freshness(published: Column, as_of: Column) -> Column:
@@ -22,10 +24,12 @@ def quality(url: Column, words: Column, title: Column) -> Column:
 
 
 def top_share(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, share, n_words): the share of the most frequent word of each text that has words."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), 0)).alias("w"))
-    counts = words.groupBy("doc_id", "w").agg(F.count("*").alias("n"))
-    return counts.groupBy("doc_id").agg((F.max("n") / F.sum("n")).alias("share"), F.sum("n").alias("n_words"))
+    """(doc_id, share, n_words): the share of the most frequent word of each text that has words, within the row."""
+    words = F.sort_array(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD), 0))
+    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).where(F.size("words") > 0)
+    rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), run_starts(F.col("words")).alias("starts"))
+    runs = F.transform("starts", lambda x, i: F.coalesce(F.get("starts", i + 1), F.col("n_words").cast("int")) - x)
+    return rows.select("doc_id", (F.array_max(runs) / F.col("n_words")).alias("share"), "n_words")
 
 
 def spam(words: Column, share: Column, title: Column) -> Column:
@@ -41,9 +45,29 @@ def spam(words: Column, share: Column, title: Column) -> Column:
 LTR_WEIGHTS = (0.45, 0.20, 0.15, -0.30, 0.10)
 
 
-def ltr_score(bm25: Column, page_rank: Column, quality_: Column, spam_: Column, words: Column) -> Column:
-    features = (bm25, page_rank, quality_, spam_, F.least(F.lit(10.0), words / 500.0))
-    total = F.lit(0.0)
-    for weight, feature in zip(LTR_WEIGHTS, features):
-        total = total + F.lit(weight) * feature
-    return F.greatest(F.lit(0.0), total)
+class RankingModel(Protocol):
+    """A learned ranker over columns: what it looks at, and its score for that."""
+
+    def features(self, bm25: Column, page_rank: Column, quality_: Column, spam_: Column, words: Column) -> list[Column]: ...
+
+    def predict(self, features: list[Column]) -> Column: ...
+
+
+class LinearModel:
+    """A weighted sum of the signals, at least 0."""
+
+    def __init__(self, weights: tuple[float, ...] = LTR_WEIGHTS):
+        self.weights = weights
+
+    def features(self, bm25: Column, page_rank: Column, quality_: Column, spam_: Column, words: Column) -> list[Column]:
+        return [bm25, page_rank, quality_, spam_, F.least(F.lit(10.0), words / 500.0)]
+
+    def predict(self, features: list[Column]) -> Column:
+        total = F.lit(0.0)
+        for weight, feature in zip(self.weights, features):
+            total = total + F.lit(weight) * feature
+        return F.greatest(F.lit(0.0), total)
+
+
+def ltr_score(bm25: Column, page_rank: Column, quality_: Column, spam_: Column, words: Column, model: RankingModel = LinearModel()) -> Column:
+    return model.predict(model.features(bm25, page_rank, quality_, spam_, words))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanternfish.config import Settings
 from lanternfish.functions.urls import domain, normalized
+from lanternfish.session import cut
 
 
 def admit(candidates: DataFrame, seen: DataFrame, settings: Settings = Settings(), allowed: list[str] | None = None, denied: list[str] | None = None) -> DataFrame:
@@ -36,7 +39,8 @@ def dispatch(queue: DataFrame, limit: int | None = None, active: DataFrame | Non
     """
     order = [F.desc("priority"), F.col("discovered_at"), F.col("url")]
     place = F.row_number().over(Window.partitionBy("domain").orderBy(*order))
-    waiting = queue.where("status = 'pending'").withColumn("place", place)
+    # Never more than a few of a domain: Spark keeps only those before it deals the rows out.
+    waiting = queue.where("status = 'pending'").withColumn("place", place).where(F.col("place") <= settings.per_domain)
     if active is not None:
         waiting = waiting.join(active.select("domain", F.col("n").alias("busy")), "domain", "left")
     busy = F.coalesce(F.col("busy"), F.lit(0)) if active is not None else F.lit(0)
@@ -48,8 +52,7 @@ def dispatch(queue: DataFrame, limit: int | None = None, active: DataFrame | Non
 
 def earliest_start(queue: DataFrame, delays: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
     """(url, domain, wait_s): seconds to wait so that requests of one domain keep their distance."""
-    place = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("priority"), "discovered_at", "url"))
-    rows = queue.withColumn("place", place)
+    rows = numbered(queue, ["domain"], [F.desc("priority"), F.col("discovered_at"), F.col("url")], "place")
     delay = F.lit(settings.crawl_delay)
     if delays is not None:
         rows = rows.join(delays.select("domain", "crawl_delay"), "domain", "left")
@@ -57,6 +60,21 @@ def earliest_start(queue: DataFrame, delays: DataFrame | None = None, settings:
     return rows.select("url", "domain", ((F.col("place") - 1) * delay).alias("wait_s"))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """``rows`` with their numbers, from 1, among those of equal keys in the given order.
+
+    Rows are dealt by ranges of keys and order, so a key with very many takes
+    many tasks; each range's rows start where the ranges before it end.
+    """
+    ranged = cut(rows.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__range").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.col("__range") == F.col("__at"))
+    own = F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*order))
+    return ranged.withColumn("__own", own).join(counts, same).select(*rows.columns, (F.col("__own") + F.col("__before")).alias(name))
+
+
 def link_priority(source_domain: Column, target: Column) -> Column:
     """60 for links that name their own domain, 40 for others."""
     return F.when(target.contains(source_domain), 60).otherwise(40)
@@ -94,3 +112,25 @@ def due(docs: DataFrame, now: Column, limit: int = 200) -> DataFrame:
     priority = F.least(F.lit(90), F.greatest(F.lit(20), (F.col("page_rank") * 20).cast("int")))
     late = docs.where(F.col("next_crawl") <= now).orderBy("next_crawl", "url").limit(limit)
     return late.select("url", priority.alias("priority"), (now + F.expr("interval 3 days")).alias("next_crawl"))
+
+
+def reschedule(queue: DataFrame, docs: DataFrame, now: Column, limit: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(queue, docs) after documents due again went back to the queue, to come up next in three days.
+
+    They come in at depth 0, pending, with the priority their rank gives; a row
+    of the queue with the same URL gives way.
+    """
+    again = cut(due(docs, now, limit), "due")
+    fresh = again.select("url", domain(F.col("url")).alias("domain"), "priority", F.lit(0).alias("depth"), F.lit("pending").alias("status"), now.alias("discovered_at"))
+    types = dict(queue.dtypes)
+    added = fresh.select(*((F.col(c) if c in fresh.columns else F.lit(None)).cast(types[c]).alias(c) for c in queue.columns))
+    later = docs.join(again.select("url", F.col("next_crawl").alias("__next")), "url", "left")
+    moved = later.select(*(F.coalesce("__next", "next_crawl").alias(c) if c == "next_crawl" else F.col(c) for c in docs.columns))
+    return queue.join(again, "url", "left_anti").select(*queue.columns).unionByName(added), moved
+
+
+def released(active: DataFrame, done: DataFrame) -> DataFrame:
+    """(domain, n): URLs in progress by domain after those in ``done`` (domain) are finished; none below 0."""
+    gone = done.groupBy("domain").agg(F.count("*").alias("gone"))
+    rows = active.join(gone, "domain", "left")
+    return rows.select("domain", F.greatest(F.col("n") - F.coalesce("gone", F.lit(0)), F.lit(0)).cast("long").alias("n")).where("n > 0")

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanternfish.functions.text import STOP_WORDS, nfkc, token_rows, tokens, with_stem
+from lanternfish.functions.text import STOP_WORDS, may_have_stem, nfkc, run_starts, stemmed, token_rows, tokens, with_stem
+from lanternfish.session import children, delete_path
 
 
 def combined_text(title: Column, description: Column, content: Column) -> Column:
@@ -56,16 +57,56 @@ class Index:
         stats = rest.doc_stats.unionByName(other.doc_stats)
         return Index(rest.postings.unionByName(other.postings), stats, corpus_stats(stats))
 
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Write the tables; postings lie sorted by term so that a lookup reads few row groups."""
-        self.postings.repartition(buckets, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-        self.corpus_stats.write.mode("overwrite").parquet(f"{path}/corpus_stats")
-        self.term_stats.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
+    def write(self, path: str, buckets: int | None = None) -> None:
+        """Write the index as the only segment under ``path``, and its term_stats.
+
+        Postings are dealt by ranges of terms and lie sorted, so that a lookup
+        reads few row groups; a frequent term may take several ranges.
+        """
+        spark = self.postings.sparkSession
+        old = [n for t in ("postings", "doc_stats") for n in children(spark, f"{path}/{t}")]
+        epoch = max((int(n.partition("=")[2]) for n in old if n.startswith("epoch=")), default=-1) + 1
+        self.append(path, epoch, buckets)
+        for table in ("postings", "doc_stats"):
+            for name in children(spark, f"{path}/{table}"):
+                if name != f"epoch={epoch}":
+                    delete_path(spark, f"{path}/{table}/{name}")
+        Index.read(spark, path).term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
+
+    def append(self, path: str, epoch: int, buckets: int | None = None) -> None:
+        """Write the index as one more segment.
+
+        Its documents replace those of lower epochs; a length of null removes
+        one.  An epoch that is written again replaces itself.
+        """
+        by = (buckets, "term", "doc_id") if buckets else ("term", "doc_id")
+        self.postings.repartitionByRange(*by).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/epoch={epoch}")
+        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats/epoch={epoch}")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "doc_stats", "corpus_stats")))
+        """The index from the segments under ``path``; of each document the highest epoch counts."""
+        postings = spark.read.schema("term string, doc_id bigint, tf bigint, positions array<int>, epoch bigint").parquet(f"{path}/postings")
+        lengths = spark.read.schema("doc_id bigint, doc_len bigint, epoch bigint").parquet(f"{path}/doc_stats")
+        if sum(n.startswith("epoch=") for n in children(spark, f"{path}/doc_stats")) > 1:
+            last = lengths.groupBy("doc_id").agg(F.max("epoch").alias("epoch"), F.max_by("doc_len", "epoch").alias("doc_len"))
+            lengths = last.where("doc_len is not null")
+            postings = postings.join(lengths.select("doc_id", "epoch"), ["doc_id", "epoch"], "left_semi")
+        stats = lengths.select("doc_id", "doc_len").where("doc_len is not null")
+        return Index(postings.select("term", "doc_id", "tf", "positions"), stats, corpus_stats(stats))
+
+    @staticmethod
+    def remove(path: str, epoch: int, doc_ids: DataFrame) -> None:
+        """Write a segment that removes documents; ``doc_ids`` has a column doc_id."""
+        gone = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("doc_len")).distinct()
+        none = gone.select(F.lit("").alias("term"), "doc_id", F.lit(0).cast("long").alias("tf"), F.array().cast("array<int>").alias("positions")).limit(0)
+        Index(none, gone, corpus_stats(gone)).append(path, epoch)
+
+    @staticmethod
+    def clear(spark: SparkSession, path: str) -> None:
+        """Remove all segments."""
+        for table in ("postings", "doc_stats", "term_stats"):
+            delete_path(spark, f"{path}/{table}")
 
 
 def corpus_stats(doc_stats: DataFrame) -> DataFrame:
@@ -77,11 +118,29 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms
     """Index ``docs``; with ``terms``, only their postings (statistics are those of all documents)."""
     clean = docs.select(F.col(id_col).alias("doc_id"), nfkc(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     stats = clean.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("doc_len"))
-    rows = term_rows(clean)
-    if terms is not None:
-        rows = rows.where(F.col("term").isin(list(terms)))
-    postings = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(postings, stats, corpus_stats(stats))
+    return Index(_postings(clean, terms), stats, corpus_stats(stats))
+
+
+def _postings(clean: DataFrame, terms: Iterable[str] | None) -> DataFrame:
+    """(term, doc_id, tf, positions), each document's within its row: no token is shuffled.
+
+    The terms of a text are sorted with their positions; a run of one term is a posting.
+    """
+    words = tokens(F.col("text"))
+    if terms is None:
+        placed = F.transform(stemmed(words), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    else:
+        terms = list(terms)
+        placed = F.transform(words, lambda t, i: F.struct(t.alias("raw"), i.alias("pos")))
+        placed = F.filter(placed, lambda x: may_have_stem(x["raw"], terms))
+        placed = F.transform(placed, lambda x: F.struct(F.element_at(stemmed(F.array(x["raw"])), 1).alias("term"), x["pos"].alias("pos")))
+        placed = F.filter(placed, lambda x: x["term"].isin(terms))
+    rows = clean.select("doc_id", F.sort_array(placed).alias("placed")).where(F.size("placed") > 0)
+    rows = rows.select("doc_id", "placed", run_starts(F.col("placed"), lambda x: x["term"]).alias("starts"))
+    until = lambda i: F.coalesce(F.get("starts", i + 1), F.size("placed"))
+    runs = F.transform("starts", lambda x, i: F.struct(F.get("placed", x)["term"].alias("term"), F.slice("placed", x + 1, until(i) - x)["pos"].alias("positions")))
+    rows = rows.select("doc_id", F.explode(runs).alias("run"))
+    return rows.select("run.term", "doc_id", F.size("run.positions").cast("long").alias("tf"), "run.positions")
 
 
 def phrase_counts(index: Index, phrase: tuple[str, ...] | list[str]) -> DataFrame:

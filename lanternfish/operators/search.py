@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,6 +15,7 @@ from lanternfish.functions.snippets import snippet
 from lanternfish.functions.urls import display
 from lanternfish.operators.index import Index, phrase_counts
 from lanternfish.operators.query import ParsedQuery, parse
+from lanternfish.session import cut
 
 
 @dataclass(frozen=True)
@@ -144,3 +146,29 @@ def batch_top(index: Index, queries: dict[str, str], k: int = 10, settings: Sett
     scored = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum("gain"), 6).alias("bm25"))
     order = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "bm25")
+
+
+def response(index: Index, docs: DataFrame, query: str, o: SearchOptions = SearchOptions()) -> DataFrame:
+    """One row: query, total, page, limit, took_ms, results and filters, each result with its signals.
+
+    The matches are scored once and written out; total and page are read from there.
+    """
+    start = time.perf_counter()
+    q = parse(query)
+    scored = signals(index, docs, q, o) if not q.is_empty else signals(index, docs.limit(0), q, o)
+    scored = cut(scored.withColumn("score", F.round(composite(o.weights), 6)), "scored")
+    page = scored.orderBy(F.desc("score"), "doc_id").offset((o.page - 1) * o.limit).limit(o.limit)
+    page = page.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))
+    text = F.coalesce(F.nullif("content", F.lit("")), "description")
+    terms = q.raw_positive_terms or q.positive_terms
+    parts = F.struct("bm25", F.col("title_signal").alias("title"), "phrase", "pagerank", "freshness", "quality", "spam")
+    shown = docs.join(F.broadcast(page.withColumnRenamed("title", "title_signal")), "doc_id")
+    item = F.struct(
+        "place", "doc_id", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), "url", display(F.col("url")).alias("display_url"), "description",
+        snippet(text, terms, q.raw_exact_phrases, o.settings.snippet_length).alias("snippet"), "score", "published_at", parts.alias("breakdown"),
+    )
+    results = shown.select(item.alias("r")).agg(F.sort_array(F.collect_list("r")).alias("results"))
+    whole = cut(scored.agg(F.count("*").alias("total")).crossJoin(results), "response")
+    took = (time.perf_counter() - start) * 1000
+    filters_ = F.struct(F.lit(q.site).alias("site"), F.lit(q.intitle).alias("intitle"), F.lit(q.inurl).alias("inurl"), F.array(*map(F.lit, q.raw_exact_phrases)).cast("array<string>").alias("exact_phrases"))
+    return whole.select(F.lit(query).alias("query"), "total", F.lit(o.page).alias("page"), F.lit(o.limit).alias("limit"), F.lit(took).alias("took_ms"), "results", filters_.alias("filters"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,11 @@ def corpus_overview(index: Index, docs: DataFrame, log: DataFrame, queue: DataFr
     return out
 
 
+def health(index: Index, crawling: bool = False) -> DataFrame:
+    """One row: status, app, whether a crawl runs, and how many documents are indexed."""
+    return index.doc_stats.agg(F.count("*").alias("indexed_docs")).select(F.lit("healthy").alias("status"), F.lit("lanternfish").alias("app"), F.lit(crawling).alias("crawler_running"), "indexed_docs")
+
+
 def histogram(values: DataFrame, value: Column, keys: list[str], bounds: list[float] = LATENCY_BOUNDS) -> DataFrame:
     """Cumulative counts up to each bound, with sum and count, per key."""
     counts = [F.count(F.when(value <= b, 1)).alias(f"le_{b}") for b in bounds]
@@ -65,9 +72,81 @@ def redacted(fields: Column) -> Column:
 
 
 def cached_results(entries: DataFrame, now: Column, most: int | None = None) -> DataFrame:
-    """Entries (key, value, expires_at, inserted_at) still valid; with ``most``, the newest ones."""
-    live = entries.where(F.col("expires_at") > now)
-    return live if most is None else live.orderBy(F.desc("inserted_at"), "key").limit(most)
+    """Entries (key, value, expires_at, inserted_at) still valid; null expires_at never ends.
+
+    Where ``most`` or more are left, the oldest fifth of ``most`` goes, as before
+    one more is put in.
+    """
+    live = entries.where(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+    if most is None:
+        return live
+    count = live.agg(F.count("*").alias("__count"))
+    gone = live.orderBy("inserted_at", "key").limit(most // 5).select("key", "inserted_at")
+    full = gone.crossJoin(F.broadcast(count)).where(F.col("__count") >= most)
+    return live.join(full, ["key", "inserted_at"], "left_anti").select(*entries.columns)
+
+
+def remembered(entries: DataFrame, new: DataFrame, now: Column, most: int = 10_000) -> DataFrame:
+    """The cache after ``new`` entries came in: of a key the latest stays."""
+    rest = cached_results(entries, now, most).join(new.select("key"), "key", "left_anti")
+    return rest.select(*entries.columns).unionByName(new.select(*entries.columns))
+
+
+#: Upper bounds of the fetch latency histogram, in seconds.
+FETCH_BOUNDS = [0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
+
+
+def metrics(fetches: DataFrame, searches: DataFrame, docs: DataFrame, queue: DataFrame, cache: DataFrame, workers: DataFrame) -> DataFrame:
+    """(name, labels, value): the counters, gauges and histogram buckets of the engine, from its tables.
+
+    ``fetches`` has domain, status, error, latency_s; ``searches`` latency_ms;
+    ``docs`` is_indexed; ``queue`` status; ``cache`` cache_type, hit;
+    ``workers`` worker_type, active.
+    """
+
+    def label(**of: Column) -> Column:
+        return F.concat_ws(",", *(F.concat(F.lit(f'{k}="'), v.cast("string"), F.lit('"')) for k, v in of.items()))
+
+    def counted(df: DataFrame, name: str, **of: Column) -> DataFrame:
+        return df.groupBy(label(**of).alias("labels")).agg(F.count("*").cast("double").alias("value")).select(F.lit(name).alias("name"), "labels", "value")
+
+    def one(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.agg(value.cast("double").alias("value")).select(F.lit(name).alias("name"), F.lit("").alias("labels"), "value")
+
+    def buckets(df: DataFrame, name: str, value: Column, bounds: list[float], **of: Column) -> DataFrame:
+        ends = [F.struct(F.lit(f"{b:g}").alias("le"), (value <= b).alias("within")) for b in bounds] + [F.struct(F.lit("+Inf").alias("le"), value.isNotNull().alias("within"))]
+        rows = df.select(label(**of).alias("of") if of else F.lit("").alias("of"), value.alias("v"), F.explode(F.array(*ends)).alias("e"))
+        counts = rows.groupBy("of", "e.le").agg(F.count(F.when(F.col("e.within"), 1)).cast("double").alias("value"))
+        le = F.concat(F.lit('le="'), F.col("le"), F.lit('"'))
+        counts = counts.select(F.lit(f"{name}_bucket").alias("name"), F.when(F.col("of") == "", le).otherwise(F.concat_ws(",", "of", le)).alias("labels"), "value")
+        sums = df.groupBy(label(**of).alias("labels") if of else F.lit("").alias("labels")).agg(F.round(F.coalesce(F.sum(value), F.lit(0.0)), 6).alias("value"))
+        return counts.unionByName(sums.select(F.lit(f"{name}_sum").alias("name"), "labels", "value"))
+
+    status, where = F.coalesce(F.col("status").cast("string"), F.lit("0")), F.col("domain")
+    parts = [
+        counted(fetches, "crawl_requests_total", status=status, domain=where),
+        counted(fetches.where(F.col("error").isNotNull()), "crawl_errors_total", error_type=F.col("error"), domain=where),
+        one(docs, "pages_indexed_total", F.count(F.when(F.col("is_indexed"), 1))),
+        one(queue, "crawler_queue_size", F.count(F.when(F.col("status") == "pending", 1))),
+        buckets(fetches, "crawl_latency_seconds", F.col("latency_s"), FETCH_BOUNDS, domain=where),
+        one(searches, "search_requests_total", F.count("*")),
+        buckets(searches, "search_latency_seconds", F.col("latency_ms") / 1000.0, [b / 1000 for b in LATENCY_BOUNDS]),
+        counted(cache.where("hit"), "cache_hits_total", cache_type=F.col("cache_type")),
+        counted(cache.where("not hit"), "cache_misses_total", cache_type=F.col("cache_type")),
+        workers.groupBy(label(worker_type=F.col("worker_type")).alias("labels")).agg(F.sum(F.col("active").cast("double")).alias("value")).select(F.lit("active_workers").alias("name"), "labels", "value"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def exposition(values: DataFrame) -> DataFrame:
+    """(line) of each metric in the text form that scrapers read."""
+    labels = F.when(F.col("labels") == "", "").otherwise(F.concat(F.lit("{"), "labels", F.lit("}")))
+    return values.select(F.concat("name", labels, F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
+def activity(events: DataFrame, k: int = 50, keep: int = 100) -> DataFrame:
+    """The last ``k`` crawl events (url, domain, title, status, at and more), newest first; ``keep`` are remembered."""
+    return events.orderBy(F.desc("at"), "url").limit(min(k, keep))
 
 
 def cache_key(query: str, page: int, limit: int, safe_search: bool) -> str:

@@ -108,13 +108,20 @@ raw_edges AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM linei
 edges AS (SELECT src, dst FROM raw_edges WHERE src <> dst AND src IN (SELECT node FROM nodes) AND dst IN (SELECT node FROM nodes))"""
 
 
-def _pagerank(rounds: int) -> str:
+_SMALL_GRAPH = """nodes AS (SELECT 's' || s_suppkey AS node FROM supplier UNION SELECT 'n' || n_nationkey FROM nation UNION SELECT 'r' || r_regionkey FROM region),
+edges AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
+
+
+def _pagerank(graph: str, rounds: int = 50, tolerance: str = "1e-6") -> str:
+    """CTEs that end in ``ranked`` (node, rank): rounds until the ranks stand still, or as many as given."""
     steps = [f"""outs AS (SELECT src, count(*) AS o FROM edges GROUP BY src), shares AS (SELECT src, dst, count(*) / any_value(o) AS share FROM edges JOIN outs USING (src) GROUP BY ALL),
-total AS (SELECT count(*) AS n FROM nodes), r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nodes, total)"""]
+total AS (SELECT count(*) AS n FROM nodes), r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM nodes, total), s0 AS (SELECT false AS still)"""]
     for i in range(rounds):
         steps.append(f"""g{i} AS MATERIALIZED (SELECT dst, sum(rank * share) AS got FROM shares JOIN r{i} ON src = node GROUP BY dst),
-r{i + 1} AS MATERIALIZED (SELECT node, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + (1 - (SELECT sum(got) FROM g{i})) / n) AS rank FROM nodes CROSS JOIN total LEFT JOIN g{i} ON dst = node)""")
-    return f"WITH {_GRAPH}, {', '.join(steps)} SELECT node, round(rank * n, 6) AS rank FROM r{rounds}, total"
+r{i + 1} AS MATERIALIZED (SELECT r{i}.node, r{i}.rank AS old, CASE WHEN (SELECT still FROM s{i}) THEN r{i}.rank
+  ELSE 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + (1 - coalesce((SELECT sum(got) FROM g{i}), 0)) / n) END AS rank FROM r{i} CROSS JOIN total LEFT JOIN g{i} ON dst = r{i}.node),
+s{i + 1} AS MATERIALIZED (SELECT sum(abs(rank - old)) < {tolerance}::DOUBLE AS still FROM r{i + 1})""")
+    return f"{graph}, {', '.join(steps)}, ranked AS (SELECT node, rank * n AS rank FROM r{rounds}, total)"
 
 
 _FEATURE_WORD = rf"{_WORD}(?:[\p{{L}}\p{{M}}\p{{N}}_+#.]*{_WORD})?"
@@ -175,6 +182,22 @@ _LANG = """lower(split_part(regexp_extract(html, '(?i)<html[^>]*\\slang\\s*=\\s*
 _HREFS = """hrefs AS (SELECT page_id, unnest(hs) AS href, unnest(range(len(hs)))::INT AS pos FROM (
   SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1) AS hs FROM pages))"""
 _BOUNDS = [5, 10, 25, 50, 100, 250, 500, 1000]
+
+_METRICS = f"""WITH f AS (SELECT 'domain="' || event_type || '"' AS d, CASE WHEN event_id % 5 = 0 THEN '404' ELSE '200' END AS status, event_id % 7 = 0 AS late, value / 100 AS s, value / 1000 AS q, event_id FROM events)
+SELECT 'crawl_requests_total' AS name, 'status="' || status || '",' || d AS labels, count(*)::DOUBLE AS value FROM f GROUP BY ALL
+UNION ALL SELECT 'crawl_errors_total', 'error_type="timeout",' || d, count(*) FROM f WHERE late GROUP BY ALL
+UNION ALL SELECT 'pages_indexed_total', '', count(*) FILTER (lang = 'en') FROM documents
+UNION ALL SELECT 'crawler_queue_size', '', count(*) FROM pages
+UNION ALL SELECT 'search_requests_total', '', count(*) FROM f
+{' '.join(f"UNION ALL SELECT 'crawl_latency_seconds_bucket', d || ',le={chr(34)}{b}{chr(34)}', count(*) FILTER (s <= {b}) FROM f GROUP BY ALL" for b in ('0.05', '0.1', '0.25', '0.5', '1', '2.5', '5', '10'))}
+UNION ALL SELECT 'crawl_latency_seconds_bucket', d || ',le="+Inf"', count(s) FROM f GROUP BY ALL
+UNION ALL SELECT 'crawl_latency_seconds_sum', d, round(coalesce(sum(s), 0), 2) FROM f GROUP BY ALL
+{' '.join(f"UNION ALL SELECT 'search_latency_seconds_bucket', 'le={chr(34)}{b / 1000:g}{chr(34)}', count(*) FILTER (q <= {b / 1000}::DOUBLE) FROM f" for b in _BOUNDS)}
+UNION ALL SELECT 'search_latency_seconds_bucket', 'le="+Inf"', count(q) FROM f
+UNION ALL SELECT 'search_latency_seconds_sum', '', round(coalesce(sum(q), 0), 2) FROM f
+UNION ALL SELECT 'cache_hits_total', 'cache_type="search"', count(*) FROM f WHERE event_id % 3 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'cache_misses_total', 'cache_type="search"', count(*) FROM f WHERE event_id % 3 <> 0 HAVING count(*) > 0
+UNION ALL VALUES ('active_workers', 'worker_type="crawler"', 5), ('active_workers', 'worker_type="indexer"', 1)"""
 _TERM_STATS = "SELECT term, count(*) AS doc_frequency, sum(tf)::BIGINT AS total_occurrences FROM post"
 
 
@@ -190,6 +213,9 @@ def oracle_sql() -> dict[str, str]:
         "corpus_stats": f"{INDEXED} SELECT count(*) AS n, round(avg(doc_len), 6) AS avgdl FROM lens",
         "remove_document": f"{INDEXED} {_TERM_STATS} WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'de') GROUP BY term",
         "replace_document": f"WITH txt AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'one new text for all of these' ELSE coalesce(text, '') END AS t FROM documents), {TOKENS}, {STEMS}, {POSTINGS} {_TERM_STATS} GROUP BY term",
+        "index_incremental": f"""WITH txt AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN 'one new text for all of these' ELSE coalesce(text, '') END AS t FROM documents WHERE lang IS DISTINCT FROM 'de'), {TOKENS}, {STEMS}, {POSTINGS}
+          {_TERM_STATS} GROUP BY term""",
+        "index_stream_search": f"{INDEXED}, {_bm25(PLAIN)} SELECT doc_id, round(bm25, 6) AS bm25 FROM bm ORDER BY 2 DESC, 1 LIMIT 10",
         "vocab_prefix_topk": f"{INDEXED} SELECT term, count(*) AS doc_frequency FROM post WHERE starts_with(term, 'li') GROUP BY term ORDER BY 2 DESC, 1 LIMIT 10",
         "bm25_top10": f"{SEARCHED}, {_bm25(PLAIN)} SELECT doc_id, round(bm25, 6) AS bm25 FROM bm ORDER BY 2 DESC, 1 LIMIT 10",
         "search_default": _search(PLAIN),
@@ -198,13 +224,17 @@ def oracle_sql() -> dict[str, str]:
         "search_intitle": _search(["license", "version"], where="contains(lower(title), 'the')"),
         "search_inurl": _search(["license"], where="contains(url, '/en/')"),
         "search_date_range": _search(["license"], where="published_at BETWEEN TIMESTAMP '2025-03-01' AND TIMESTAMP '2025-09-30'"),
-        "search_filetype": _search(["license"], where="ends_with(url, '.5')"),
+        "search_filetype": _search(["license"], where="doc_id % 4 = 0"),
         "search_safe": _search(["license", "right"], prelude=f", {_SPAM}", source="rated", spam="spam_score", quality="quality_score", where="spam_score <= 0.3"),
         "search_phrase_bonus": _search(PHRASED, phrases=PHRASE),
         "search_phrase_strict": _search(PHRASED, phrases=PHRASE, strict=True),
         "search_or": _search(["apache", "gnu"]),
         "search_page2": _search(PLAIN, offset=10),
         "search_total": f"{SEARCHED}, {_signals(PLAIN)} SELECT count(*) AS total FROM sig",
+        "search_response": f"""{SEARCHED}, {_signals(PLAIN)}, shown AS (SELECT *, {_SCORE} AS score FROM sig ORDER BY score DESC, doc_id LIMIT 10)
+          SELECT 'licensed apache rights' AS query, (SELECT count(*) FROM sig) AS total, 1 AS page, 10 AS "limit", row_number() OVER (ORDER BY score DESC, doc_id)::INT AS place, doc_id,
+            CASE WHEN docs.title = '' THEN url ELSE docs.title END AS title, rtrim(replace(url, 'https://', ''), '/') AS display_url, score,
+            round(bm25, 6) AS bm25, round(phrase, 6) AS phrase, round(pagerank, 6) AS pagerank, round(freshness, 6) AS freshness FROM shown JOIN docs USING (doc_id)""",
         "search_empty": "SELECT doc_id, 0.0::DOUBLE AS score FROM documents LIMIT 0",
         "search_batch_topk": f"{SEARCHED}, {BATCH} SELECT query_id, rank, doc_id, bm25 FROM best",
         "phrase_counts": f"WITH {PLAIN_TEXT}, {TOKENS}, {STEMS} SELECT a.doc_id, count(*) AS n FROM terms a JOIN terms b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND b.term = 'the' WHERE a.term = 'the' GROUP BY a.doc_id",
@@ -222,6 +252,7 @@ def oracle_sql() -> dict[str, str]:
         "top_domains": f"WITH {URLS} SELECT lower(regexp_extract(original, '{_GENERIC}', 2)) AS domain, count(*) AS documents FROM urls GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
         "corpus_overview": f"""{INDEXED}, {_HREFS} SELECT (SELECT count(*) FROM documents) AS pages_crawled, (SELECT count(*) FROM lens) AS pages_indexed, (SELECT count(DISTINCT term) FROM post) AS unique_terms,
           (SELECT count(*) FROM events) AS searches, 0::BIGINT AS failed_urls, (SELECT count(*) FROM pages) AS queued_urls, (SELECT count(*) FROM hrefs) AS links""",
+        "health": "SELECT 'healthy' AS status, 'lanternfish' AS app, false AS crawler_running, count(*) AS indexed_docs FROM documents",
         "latency_histogram": f"SELECT event_type AS query, {', '.join(f'count(*) FILTER (value <= {b}) AS le_{b}' for b in _BOUNDS)}, count(value) AS count, round(sum(value), 4) AS sum FROM events GROUP BY event_type",
         "log_redaction_json": "SELECT event_id, '{\"event\":\"' || event_type || '\",\"api_key\":\"[REDACTED]\",\"user\":\"' || user_id || '\"}' AS line FROM events",
         "url_normalize": f"WITH {URLS} SELECT page_id, url FROM urls",
@@ -235,7 +266,14 @@ def oracle_sql() -> dict[str, str]:
         "page_title_lang": f"SELECT page_id, {_TITLE} AS title, CASE WHEN {_LANG} <> '' AND length({_LANG}) <= 8 THEN {_LANG} ELSE 'en' END AS language FROM pages",
         "page_hrefs": f"WITH {_HREFS} SELECT page_id, pos, href FROM hrefs",
         "link_first_use": f"WITH {_HREFS} SELECT page_id, href, min(pos) AS pos FROM hrefs GROUP BY page_id, href",
-        "pagerank": _pagerank(10),
+        "page_fields": f"""WITH {URLS}, kinds AS (SELECT page_id, kind FROM parts) SELECT page_id, 'About ' || page_id AS description, 'Writer ' || page_id AS author, 'https://canon.test/p' || page_id AS canonical_url,
+          page_id % 5 = 0 AS noindex, page_id % 5 = 0 AS nofollow, CASE WHEN page_id % 5 = 0 THEN 0 END::INT AS n_links, 15::BIGINT AS n_images, kind || '://' || host || '/i/' || page_id || '.png' AS image_url, 320 AS width, 'pic' AS alt_text,
+          CASE WHEN page_id % 3 = 0 THEN lower(regexp_extract(original, '{_GENERIC}', 2)) END AS publisher, CASE WHEN page_id % 3 = 0 THEN TIMESTAMP '2025-03-01 12:00:00' END AS published_date FROM urls JOIN kinds USING (page_id)""",
+        "page_link_targets": f"""WITH {URLS}, {_HREFS}, kinds AS (SELECT page_id, kind FROM parts), told AS (SELECT url, kind || '://' || host AS site, regexp_replace(regexp_replace(replace(href, '&amp;', '&'), '#.*$', ''), ';[^/]*$', '') AS path FROM hrefs JOIN urls USING (page_id) JOIN kinds USING (page_id)
+            WHERE href <> '' AND NOT starts_with(href, '#'))
+          SELECT DISTINCT url AS source_url, site || CASE WHEN path IN ('', '/') THEN '/' ELSE regexp_replace(regexp_replace(path, '/+', '/', 'g'), '(.)/$', '\\1') END AS target_url FROM told WHERE target_url <> url""",
+        "pagerank": f"WITH {_pagerank(_GRAPH)} SELECT node, round(rank, 6) AS rank FROM ranked",
+        "pagerank_documents": f"WITH {_pagerank(_SMALL_GRAPH)} SELECT node AS url, round(rank, 4) AS page_rank FROM ranked",
         "graph_degrees": f"""WITH {_GRAPH}, o AS (SELECT src AS node, count(*) AS n FROM edges GROUP BY src), i AS (SELECT dst AS node, count(*) AS n FROM edges GROUP BY dst)
           SELECT node, coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree, o.n IS NULL AS dangling FROM nodes LEFT JOIN o USING (node) LEFT JOIN i USING (node)""",
         "freshness": f"WITH {DOCS} SELECT doc_id, round({_fresh('published_at')}, 6) AS freshness FROM docs",
@@ -250,6 +288,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT doc_id, (CASE WHEN quality_score > 1.2::DOUBLE THEN greatest(4, floor(hours * 0.7::DOUBLE)) ELSE hours END)::INT AS hours FROM h""",
         "recrawl_due": f"""WITH {DOCS} SELECT url, least(90, greatest(20, (page_rank * 20)::INT)) AS priority, TIMESTAMP '2025-12-04' AS next_crawl FROM (
           SELECT * FROM docs WHERE published_at <= TIMESTAMP '2025-12-01' ORDER BY published_at, url LIMIT 200)""",
+        "recrawl_requeue": f"""WITH {DOCS}, {QUEUE}, due AS (SELECT * FROM docs WHERE published_at <= TIMESTAMP '2025-12-01' ORDER BY published_at, url LIMIT 200)
+          SELECT url, domain, priority, depth, 'pending' AS status FROM queue
+          UNION ALL SELECT url, domain, least(90, greatest(20, (page_rank * 20)::INT))::BIGINT, 0, 'pending' FROM due""",
         "image_search": f"WITH {DOCS} SELECT doc_id, url || '/1.png' AS image_url, title AS alt_text FROM docs WHERE contains(lower(title), 'the') ORDER BY doc_id LIMIT 20",
         "news_search": f"""WITH {DOCS} SELECT doc_id, title AS headline, url, domain AS publisher, NULL::VARCHAR AS author, published_at AS published_date, substr(content, 1, 200) AS snippet FROM docs
           WHERE contains(lower(title), 'rights reserved') OR contains(lower(content), 'rights reserved') ORDER BY published_at DESC, doc_id LIMIT 10""",
@@ -261,6 +302,10 @@ def oracle_sql() -> dict[str, str]:
         "fetch_outcomes": """SELECT page_id, CASE WHEN contains(url, 'pills') THEN 'error' WHEN contains(url, 'spam') THEN 'http_error' WHEN ends_with(url, '/') THEN 'wrong_type' ELSE 'ok' END AS outcome,
           CASE WHEN contains(url, 'pills') THEN 2.25::DOUBLE END AS retry_after_s FROM pages""",
         "result_cache": "SELECT event_id AS key, event_type AS value FROM events WHERE ts + INTERVAL 1 HOUR > TIMESTAMP '2024-01-20'",
+        "cache_eviction": """WITH live AS (SELECT * FROM events WHERE ts + INTERVAL 1 DAY > TIMESTAMP '2024-01-05'), aged AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS age FROM live)
+          SELECT event_id AS key, event_type AS value FROM aged WHERE age > CASE WHEN (SELECT count(*) FROM live) >= 1000 THEN 200 ELSE 0 END""",
+        "engine_metrics": _METRICS,
+        "crawl_activity": "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'failed' ELSE 'success' END AS status FROM pages ORDER BY page_id DESC, url LIMIT 50",
         "stream_index_counts": f"WITH {PLAIN_TEXT}, {TOKENS}, {STEMS} SELECT term, count(*) AS total_occurrences FROM terms GROUP BY term",
         "query_log_windows": f"WITH {LOG} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, query, count(*) AS n, round(avg(latency_ms), 6) AS mean_latency FROM log GROUP BY ALL",
     }

@@ -12,6 +12,7 @@ from lanternfish.functions import hashing, quality, snippets, text, urls
 from lanternfish.operators import evaluate, frontier, graph, index, media, search, stats
 from lanternfish.operators.query import parse
 from lanternfish.operators.search import SearchOptions
+from lanternfish.session import scratch_path
 from lanternfish.sources import corpus, fetch, html, robots
 from lanternfish.streaming import jobs
 
@@ -87,6 +88,25 @@ def replace_document(spark, d):
     return index.build(docs).with_documents(index.build(changed)).term_stats
 
 
+def index_incremental(spark, d):
+    """Segments: all documents, then those of one language changed, then those of another removed."""
+    docs, path = _documents(spark, d), scratch_path(spark, "index")
+    index.build(docs).append(path, 0)
+    changed = docs.where("lang = 'fr'").select("doc_id", F.lit("one new text for all of these").alias("text"))
+    index.build(changed).append(path, 1)
+    index.Index.remove(path, 2, docs.where("lang = 'de'"))
+    return index.Index.read(spark, path).term_stats
+
+
+def index_stream_search(spark, d):
+    """A search over what the indexing loop has written."""
+    path = scratch_path(spark, "index")
+    jobs.index_loop(jobs.source(spark, f"{d}/documents.parquet"), path, scratch_path(spark, "index-state")).awaitTermination()
+    terms = parse(PLAIN).positive_terms
+    scored = search.bm25_scores(index.Index.read(spark, path), terms)
+    return scored.select("doc_id", F.round("bm25", 6).alias("bm25")).orderBy(F.desc("bm25"), "doc_id").limit(10)
+
+
 def vocab_prefix_topk(spark, d):
     return index.vocabulary_prefix(index.build(_documents(spark, d)), "li", 10)
 
@@ -123,7 +143,9 @@ def search_date_range(spark, d):
 
 
 def search_filetype(spark, d):
-    return _search(spark, d, "license filetype:5", SearchOptions(use_filetype=True))
+    docs = _docs(spark, d)
+    named = docs.withColumn("url", F.concat("url", F.when(F.col("doc_id") % 4 == 0, "/paper.pdf").otherwise("/index.html")))
+    return _search(spark, d, "license filetype:pdf", SearchOptions(use_filetype=True), named)
 
 
 def _spam_docs(spark, d):
@@ -169,6 +191,14 @@ def search_results(spark, d):
     return search.search(_indexed(docs, parse(PHRASED).positive_terms), docs, PHRASED)
 
 
+def search_response(spark, d):
+    docs = _docs(spark, d)
+    one = search.response(_indexed(docs, parse(PLAIN).positive_terms), docs, PLAIN)
+    rows = one.select("query", "total", "page", "limit", F.inline("results"))
+    signals = [F.round(F.col("breakdown")[c], 6).alias(c) for c in ("bm25", "phrase", "pagerank", "freshness")]
+    return rows.select("query", "total", "page", "limit", "place", "doc_id", "title", "display_url", "score", *signals)
+
+
 def search_batch_topk(spark, d):
     docs = _docs(spark, d)
     terms = {t for q in JUDGED.values() for t in parse(q).positive_terms}
@@ -229,6 +259,10 @@ def corpus_overview(spark, d):
     return stats.corpus_overview(index.build(docs), docs, log, corpus.as_queue(pages), links)
 
 
+def health(spark, d):
+    return stats.health(index.build(_documents(spark, d)))
+
+
 def latency_histogram(spark, d):
     log = corpus.as_search_log(corpus.table(spark, d, "events"))
     return stats.histogram(log, F.col("latency_ms"), ["query"])
@@ -292,15 +326,45 @@ def page_parse_full(spark, d):
     return html.parse(corpus.table(spark, d, "pages"))
 
 
+def page_fields(spark, d):
+    """What a page's head and images tell; tags are put into the pages by rule, as the plain ones have none."""
+    pages = corpus.table(spark, d, "pages")
+    n = F.col("page_id").cast("string")
+    head = F.concat(
+        F.lit('<meta name="description" content=" About '), n, F.lit(' "><meta name="author" content="Writer '), n, F.lit('"><link href="https://canon.test/p'), n, F.lit('?utm_source=x#y" rel="canonical">'),
+        F.when(F.col("page_id") % 3 == 0, '<meta content="2025-03-01T12:00:00Z" property="article:published_time">').otherwise(""),
+        F.when(F.col("page_id") % 5 == 0, '<meta name="robots" content="NOINDEX, nofollow">').otherwise(""), F.lit("</head>"),
+    )
+    images = F.repeat(F.concat(F.lit('<img src="/i/'), n, F.lit('.png" alt=" pic " width="320px">')), 20)
+    page = F.replace(F.replace(F.col("html"), F.lit("</head>"), head), F.lit("</article>"), F.concat(images, F.lit("</article>")))
+    parsed = html.parse(pages.select("page_id", "url", page.alias("html")))
+    shown = html.images(parsed).groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n_images"), F.min("image_url").alias("image_url"), F.max("width").alias("width"), F.max("alt_text").alias("alt_text"))
+    told = html.news(parsed).select(F.col("doc_id").alias("page_id"), "publisher", "published_date")
+    rows = parsed.select("page_id", "description", F.col("author"), "canonical_url", "noindex", "nofollow", F.size("links").alias("n_links")).join(shown, "page_id", "left").join(told, "page_id", "left")
+    return rows.withColumn("n_links", F.when(F.col("nofollow"), F.col("n_links")))
+
+
+def page_link_targets(spark, d):
+    return page_link_table(spark, d).select("source_url", "target_url")
+
+
 def page_link_table(spark, d):
     return html.page_links(html.parse(corpus.table(spark, d, "pages")))
 
 
 def pagerank(spark, d):
-    ranks = graph.pagerank(*corpus.trade_graph(spark, d), replace(Settings(), rounds=10, tolerance=0.0))
+    ranks = graph.pagerank(*corpus.trade_graph(spark, d))
     return ranks.select("node", F.round("rank", 6).alias("rank"))
 
 
+def pagerank_documents(spark, d):
+    """Ranks written back to the documents; here suppliers link to nations, and those to regions."""
+    nodes, edges = corpus.trade_graph(spark, d)
+    docs = nodes.where(~F.col("node").startswith("p")).distinct().select(F.col("node").alias("url"), F.lit(1.0).alias("page_rank"))
+    links = edges.where(~F.col("src").startswith("p")).select(F.col("src").alias("source_url"), F.col("dst").alias("target_url"))
+    return graph.with_pagerank(docs, links)
+
+
 def graph_degrees(spark, d):
     return graph.degrees(*corpus.trade_graph(spark, d))
 
@@ -350,6 +414,12 @@ def recrawl_due(spark, d):
     return frontier.due(docs, F.lit("2025-12-01 00:00:00").cast("timestamp"))
 
 
+def recrawl_requeue(spark, d):
+    docs = _docs(spark, d).withColumn("next_crawl", F.col("published_at"))
+    queue, _ = frontier.reschedule(corpus.as_queue(corpus.table(spark, d, "pages")), docs, F.lit("2025-12-01 00:00:00").cast("timestamp"))
+    return queue.select("url", "domain", "priority", "depth", "status")
+
+
 def image_search(spark, d):
     docs = _docs(spark, d)
     images = docs.select("doc_id", F.concat("url", F.lit("/1.png")).alias("image_url"), F.col("title").alias("alt_text"), F.lit(None).cast("string").alias("title"), F.lit("").alias("surrounding_text"))
@@ -410,6 +480,31 @@ def result_cache(spark, d):
     return stats.cached_results(entries, F.lit("2024-01-20 00:00:00").cast("timestamp")).select("key", "value")
 
 
+def cache_eviction(spark, d):
+    log = corpus.as_search_log(corpus.table(spark, d, "events"))
+    entries = log.select(F.col("event_id").alias("key"), F.col("query").alias("value"), (F.col("ts") + F.expr("interval 1 day")).alias("expires_at"), F.col("ts").alias("inserted_at"))
+    return stats.cached_results(entries, F.lit("2024-01-05 00:00:00").cast("timestamp"), 1000).select("key", "value")
+
+
+def engine_metrics(spark, d):
+    events = corpus.table(spark, d, "events")
+    fetches = events.select(
+        F.col("event_type").alias("domain"), F.when(F.col("event_id") % 5 == 0, 404).otherwise(200).alias("status"),
+        F.when(F.col("event_id") % 7 == 0, "timeout").alias("error"), (F.col("value") / 100).alias("latency_s"),
+    )
+    queue = corpus.as_queue(corpus.table(spark, d, "pages"))
+    docs = _documents(spark, d).select((F.col("lang") == "en").alias("is_indexed"))
+    cache = events.select(F.lit("search").alias("cache_type"), (F.col("event_id") % 3 == 0).alias("hit"))
+    workers = spark.createDataFrame([("crawler", 5), ("indexer", 1)], "worker_type string, active int")
+    return stats.metrics(fetches, corpus.as_search_log(events), docs, queue, cache, workers).withColumn("value", F.round("value", 2))
+
+
+def crawl_activity(spark, d):
+    pages = corpus.table(spark, d, "pages")
+    events = pages.select("page_id", "url", F.when(F.col("page_id") % 6 == 0, "failed").otherwise("success").alias("status"), F.timestamp_add("SECOND", F.col("page_id").cast("int"), F.lit("2025-01-01 00:00:00").cast("timestamp")).alias("at"))
+    return stats.activity(events).select("page_id", "status")
+
+
 def stream_index_counts(spark, d):
     docs = jobs.source(spark, f"{d}/documents.parquet")
     terms = index.term_rows(docs).groupBy("term").agg(F.count("*").alias("total_occurrences"))

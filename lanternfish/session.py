@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,39 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint, in the folder that the session names."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lanternfish-"))
-    return df.checkpoint()
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all machines share, as the session names it; a temporary one only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = tempfile.mkdtemp(prefix="lanternfish-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/lanternfish-{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Cut lineage: write ``df`` once to the shared folder and read it back.
+
+    A checkpoint would compute it twice unless it is cached.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in system.listStatus(where)) if system.exists(where) else []

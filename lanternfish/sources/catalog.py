@@ -15,6 +15,8 @@ TABLES = {
     "term_stats": "term string, doc_frequency bigint, total_occurrences bigint",
     "image_documents": "doc_id bigint, image_url string, page_url string, alt_text string, title string, width int, height int, surrounding_text string",
     "news_articles": "doc_id bigint, headline string, publisher string, author string, published_date timestamp",
+    "crawl_events": "url string, domain string, title string, status string, status_code int, word_count bigint, links_count int, error string, at timestamp",
+    "tasks": "task_id string, type string, payload string, enqueued_at timestamp, taken_by string",
     "search_logs": "query string, normalized_query string, results_count bigint, latency_ms double, ts timestamp",
 }
 
@@ -29,12 +31,26 @@ def read(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 def write(df: DataFrame, path: str, name: str, mode: str = "append") -> None:
     """Write rows with exactly the table's columns and types."""
-    fields = [f.strip().split(" ") for f in _split(TABLES[name])]
-    df.select(*(F.col(n).cast(t).alias(n) for n, t in fields)).write.mode(mode).parquet(f"{path}/{name}")
+    shaped(df, name).write.mode(mode).parquet(f"{path}/{name}")
 
 
-def _split(ddl: str) -> list[str]:
-    return ddl.split(", ")
+def shaped(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with exactly the table's columns and types; columns it lacks are null."""
+    fields = [f.strip().split(" ") for f in TABLES[name].split(", ")]
+    return df.select(*((F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in fields))
+
+
+def enqueued(tasks: DataFrame, new: DataFrame, now) -> DataFrame:
+    """The task table with new tasks (type, payload) at its end."""
+    fresh = new.select(F.expr("uuid()").alias("task_id"), "type", "payload", now.alias("enqueued_at"), F.lit(None).cast("string").alias("taken_by"))
+    return tasks.unionByName(shaped(fresh, "tasks"))
+
+
+def taken(tasks: DataFrame, worker: str, n: int = 1) -> DataFrame:
+    """The task table after ``worker`` took the ``n`` oldest tasks that no one has."""
+    first = tasks.where("taken_by is null").orderBy("enqueued_at", "task_id").limit(n).select("task_id", F.lit(worker).alias("__worker"))
+    rows = tasks.join(F.broadcast(first), "task_id", "left")
+    return rows.select(*(F.coalesce("taken_by", "__worker").alias(c) if c == "taken_by" else F.col(c) for c in tasks.columns))
 
 
 def upsert_documents(old: DataFrame, new: DataFrame, now) -> DataFrame:

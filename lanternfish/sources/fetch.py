@@ -11,7 +11,7 @@ from lanternfish.functions.urls import safe_to_fetch
 
 #: Accepted types, the largest body, retries, and their base wait.
 ACCEPTED = ["text/html", "application/xhtml+xml", "text/plain"]
-MAX_BYTES = 5_000_000
+MAX_BYTES = 5 * 1024 * 1024
 RETRIES, BACKOFF = 3, 1.5
 
 

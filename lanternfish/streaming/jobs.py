@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lanternfish.functions.hashing import sha256
 from lanternfish.functions.urls import normalized
 from lanternfish.operators import index as ix
+from lanternfish.session import children, scratch_path
 from lanternfish.sources import html
 
 
@@ -40,14 +41,22 @@ def crawl_loop(pages: DataFrame, write: Callable[[dict[str, DataFrame], int], No
     return pages.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
 
 
-def index_loop(docs: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append the postings and lengths of new documents to the index tables under ``path``."""
+def index_loop(docs: DataFrame, path: str, checkpoint: str, once: bool = True, every: int = 20, after: Callable[[], None] | None = None) -> StreamingQuery:
+    """Index each batch of new or changed documents as one segment under ``path``.
+
+    ``Index.read`` sees a changed document in its last state only.  An epoch
+    that is tried again replaces what it wrote before.  ``after``, such as the
+    renewal of PageRank, runs with every 20th batch.
+    """
 
     def process(batch: DataFrame, epoch: int) -> None:
-        built = ix.build(batch)
-        # An epoch that is tried again replaces what it wrote before.
-        built.postings.write.mode("overwrite").parquet(f"{path}/postings/epoch={epoch}")
-        built.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats/epoch={epoch}")
+        batch = batch.dropDuplicates(["doc_id"]).persist()
+        if batch.isEmpty():
+            return
+        ix.build(batch).append(path, epoch)
+        batch.unpersist()
+        if after and epoch % every == every - 1:
+            after()
 
     writer = docs.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="3 seconds")).start()
@@ -93,7 +102,18 @@ def politeness(requests: DataFrame, delay_s: float = 1.0) -> DataFrame:
 
 
 def drained(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and return its result table."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there now and return its result table, kept in the shared folder.
+
+    In complete mode each batch writes the whole result; else each adds its rows.
+    """
+    spark = df.sparkSession
+    path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/epoch={epoch}")
+
+    query = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    if not children(spark, path):
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
