@@ -89,40 +89,11 @@ def with_stem(df: DataFrame, word_col: str, out_col: str) -> DataFrame:
     return df.select(*kept, F.explode(F.array(stem)).alias(out_col))
 
 
-#: What any word that differs from its stem ends with.
-_ENDS = r"(?:s|ed|ing|tional|izer|ation|ator|alism)$"
-
-
-def stemmed(words: Column) -> Column:
-    """The stems of an array of lower-case tokens, within the row.
-
-    Most words have none of the endings and are told by one look.
-    """
-    return F.transform(words, lambda w: F.when((F.length(w) > 3) & w.rlike(_ENDS), F.element_at(_stem_steps(F.array(w)), 1)).otherwise(w))
-
-
 def may_have_stem(word: Column, stems_: Iterable[str]) -> Column:
     """False for words that have none of the stems: a stem, but for a final e, is how its words begin."""
     return reduce(lambda a, b: a | b, (word.startswith(s.removesuffix("e")) for s in stems_), F.lit(False))
 
 
-def _stem_steps(words: Column) -> Column:
-    """Stems in steps, each an array of its own; they are those of ``with_stem``."""
-
-    def cut_of(p: Column) -> Column:
-        past = p.endswith("ed") & ~p.endswith("eed")
-        return F.when((F.length(p) > 4) & past, _drop(p, 2)).when((F.length(p) > 4) & p.endswith("ing"), _drop(p, 3))
-
-    def bare_of(p: Column, c: Column) -> Column:
-        doubled = (F.length(c) >= 2) & (F.right(c, F.lit(1)) == c.substr(F.length(c) - 1, F.lit(1))) & ~F.right(c, F.lit(1)).isin("l", "s", "z")
-        return F.when(c.isNotNull(), F.when(doubled, _drop(c, 1)).otherwise(c)).when(p.endswith("eed") & (F.length(p) > 4), _drop(p, 1)).otherwise(p)
-
-    plural = F.transform(words, lambda w: F.struct(w.alias("w"), _first_ending(w, PLURALS).alias("p")))
-    cut = F.transform(plural, lambda s: F.struct(s["w"].alias("w"), s["p"].alias("p"), cut_of(s["p"]).alias("c")))
-    bare = F.transform(cut, lambda s: F.struct(s["w"].alias("w"), bare_of(s["p"], s["c"]).alias("b")))
-    return F.transform(bare, lambda s: F.when(F.length(s["w"]) <= 3, s["w"]).otherwise(_first_ending(s["b"], DERIVED)))
-
-
 def run_starts(ordered: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
     """Where in a sorted array a run of equal keys begins, counted from 0; empty for an empty array."""
     places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))

@@ -29,6 +29,18 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
 
 
+def spread(df: DataFrame, least: int = 1 << 20, each: int = 4 << 20) -> DataFrame:
+    """``df`` over all cores, if its input is too small to be split for them but not too small to bother.
+
+    A file of one row group is read by one task.  Spark's estimate of the input
+    decides: from ``each`` bytes a core on, files are split well enough, and no
+    row is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if least <= size < cores * each else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share, as the session names it; a temporary one only in local mode."""
     found = spark.conf.get("spark.checkpoint.dir", None)

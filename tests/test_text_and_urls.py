@@ -26,9 +26,10 @@ def test_stem_on_driver_and_in_spark_agree(spark):
     assert {r["w"]: r["s"] for r in df.collect()} == STEMS == {w: text.stem(w) for w in STEMS}
 
 
-def test_stems_within_the_row_agree(spark):
-    words = spark.createDataFrame([(list(STEMS),), ([],), (None,)], "w array<string>")
-    assert [r[0] for r in words.select(text.stemmed(F.col("w"))).collect()] == [list(STEMS.values()), [], None]
+def test_words_that_may_have_a_stem(spark):
+    for w, s in STEMS.items():
+        assert column(spark, [w], text.may_have_stem(F.col("v"), ["zzz", s])) == [True]
+    assert column(spark, ["alphabet", ""], text.may_have_stem(F.col("v"), ["beta"])) == [False, False]
 
 
 def test_runs(spark):
