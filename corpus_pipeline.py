@@ -15,6 +15,7 @@ from lanternfish.llm.near_dedup import drop_near_copies
 from lanternfish.llm.packing import pack
 from lanternfish.llm.queries import held_out, tokenizer
 from lanternfish.llm.secret_scan import redact
+from lanternfish.session import spread
 
 #: None: no stage but the exact dedup can be said in SQL; tests/llm/test_pipeline.py holds the brute-force version.
 ORACLE_SQL = None
@@ -73,7 +74,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``, each written to the shared folder and reread."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = scratch.materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
